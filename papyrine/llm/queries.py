@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from papyrine.llm.common import Scratch, table
+from papyrine.llm.decontaminate import report
 from papyrine.llm.exact_dedup import exact_groups
 from papyrine.llm.packing import pack
 from papyrine.llm.records import read_records, write_records
+from papyrine.llm.secrets import scan
 from papyrine.llm.tokens import tokenizer_file
+from papyrine.llm.toxicity import score, train
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +22,49 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(manifest, path)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "leaks"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), Scratch(spark, "exact"))
 
 
+OP5_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents
+), b as (
+  select cast(item_id as varchar) item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark
+), win as (
+  select distinct item_id, list_slice(w, i, i + 9) q, least(10, len(w)) k
+  from (select item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) i from b where len(w) > 0)
+), sizes as (select distinct k from win
+), grams as (
+  select doc_id, k, i, list_slice(w, i, i + k - 1) q from (select doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) i from d, sizes where len(w) >= k)
+), hit as (select g.doc_id, g.i, g.k, v.item_id from grams g join win v on g.q = v.q and g.k = v.k
+), covered as (
+  select doc_id, count(distinct p) n_hit from (select doc_id, unnest(generate_series(i, i + k - 1)) p from hit) group by doc_id
+), named as (
+  select doc_id, count(distinct item_id) n_items, sha256(array_to_string(list_sort(list(distinct item_id)), ',')) items_sha256 from hit group by doc_id
+)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  coalesce(items_sha256, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join covered using (doc_id) left join named using (doc_id)
+"""
+
 OP10_SQL = """
 with n as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents
@@ -40,10 +78,13 @@ from n window w as (partition by norm)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_records": op2_token_records,
+        "op5_decontaminate": op5_decontaminate,
         "op6_packing": op6_packing,
+        "op8_secrets": op8_secrets,
+        "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op10_exact_dedup": OP10_SQL}
