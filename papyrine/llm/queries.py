@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from papyrine.llm.common import Scratch, table
 from papyrine.llm.decontaminate import report
 from papyrine.llm.exact_dedup import exact_groups
+from papyrine.llm.near_dedup import near_groups
 from papyrine.llm.packing import pack
 from papyrine.llm.records import read_records, write_records
 from papyrine.llm.secrets import scan
@@ -22,6 +23,10 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(manifest, path)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), Scratch(spark, "near"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "leaks"))
 
@@ -78,6 +83,7 @@ from n window w as (partition by norm)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_records": op2_token_records,
+        "op4_near_dedup": op4_near_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_packing": op6_packing,
         "op8_secrets": op8_secrets,
