@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from papyrine.llm import language_model as lm
 from papyrine.llm.common import Scratch, table
 from papyrine.llm.decontaminate import report
 from papyrine.llm.exact_dedup import exact_groups
@@ -35,6 +37,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.filter(~lm.held_out(F.col("doc_id"))), Scratch(spark, "lm").path)
+    return lm.score(docs, model)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -86,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_dedup": op4_near_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_packing": op6_packing,
+        "op7_lm_score": op7_lm_score,
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
