@@ -15,10 +15,15 @@ from papyrine.llm.near_dedup import near_groups
 from papyrine.llm.packing import pack
 from papyrine.llm.records import read_records, write_records
 from papyrine.llm.secrets import scan
+from papyrine.llm.substring_dedup import substring_dedup
 from papyrine.llm.tokens import tokenizer_file
 from papyrine.llm.toxicity import score, train
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), Scratch(spark, "substrings"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "records").path
     manifest = write_records(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
@@ -90,6 +95,7 @@ from n window w as (partition by norm)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_token_records": op2_token_records,
         "op4_near_dedup": op4_near_dedup,
         "op5_decontaminate": op5_decontaminate,
