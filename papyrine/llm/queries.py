@@ -11,6 +11,7 @@ from papyrine.llm import language_model as lm
 from papyrine.llm.common import Scratch, table
 from papyrine.llm.decontaminate import report
 from papyrine.llm.exact_dedup import exact_groups
+from papyrine.llm.licenses import scan_licenses
 from papyrine.llm.near_dedup import near_groups
 from papyrine.llm.packing import pack
 from papyrine.llm.records import read_records, write_records
@@ -30,6 +31,10 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(manifest, path)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), Scratch(spark, "near"))
 
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_token_records": op2_token_records,
+        "op3_license_scan": op3_license_scan,
         "op4_near_dedup": op4_near_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_packing": op6_packing,
