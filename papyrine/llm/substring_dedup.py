@@ -5,8 +5,8 @@ same smallest hash are the units of work: a run whose hash no other run has can'
 count. Of equal runs all but the first are repeats as a whole. Only different runs with the same hash go, by that hash,
 to buckets of bounded size, where interval expansion on a Burrows-Wheeler transform (bwt.py) finds the strings that they
 share. Hashes with very many different runs, such as the edges of a passage that a third of all documents quote, are
-compared string by string in a grouping that is combined before the shuffle. Copies of a whole document are set aside
-first, as their first one has all that they have.
+compared string by string in a grouping that is combined before the shuffle. Copies of a whole document are equal runs
+from end to end.
 """
 
 from __future__ import annotations
@@ -126,10 +126,8 @@ def _expand(key, group: pd.DataFrame) -> pd.DataFrame:
 def _finish(batches):
     for batch in batches:
         out = []
-        for doc, text, ranges, copy in zip(batch["doc_id"], batch["text"], batch["ranges"], batch["copy"], strict=True):
+        for doc, text, ranges in zip(batch["doc_id"], batch["text"], batch["ranges"], strict=True):
             data = _encode(text)
-            if copy and len(data) >= LEAST:
-                ranges = [{"a": 0, "b": len(data)}]
             kept, at, removed, spans = [], 0, 0, 0
             for a, b in sorted((r["a"], r["b"]) for r in (ranges if ranges is not None else [])):
                 if a > at or not spans:
@@ -145,7 +143,7 @@ def _finish(batches):
 
 
 def removed_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Byte ranges [a, b) of strings that also start earlier, of documents (doc_id, text) with different texts and ids."""
+    """Byte ranges [a, b) of strings that also start earlier, of documents (doc_id, text)."""
     runs = scratch.table(docs.mapInPandas(_runs, "doc_id long, low long, run long, at int, n int, twice boolean"), "runs")
     lows = runs.groupBy("low").agg(F.count(F.lit(1)).alias("c"), F.min("run").alias("r0"), F.max("run").alias("r1"), F.max("twice").alias("t"))
     lows = lows.filter("c > 1 or t").select("low", ((F.col("r0") != F.col("r1")) | F.col("t")).alias("mixed"))
@@ -184,15 +182,9 @@ def substring_dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     before all others and are never told apart. An empty table gives no rows.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keys = rows.select("doc_id", F.sha2("text", 256).alias("sha"))
-    firsts = scratch.table(keys.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "firsts")
-    own = rows.join(firsts.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = own.filter(F.octet_length("text") >= LEAST)
-    ranges = scratch.table(removed_ranges(own, scratch), "ranges")
+    ranges = scratch.table(removed_ranges(rows.filter(F.octet_length("text") >= LEAST), scratch), "ranges")
     for name in ("shared", "kinds", "cut"):
         scratch.drop(name)
     per_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    per_doc = per_doc.join(firsts.distinct().withColumn("first", F.lit(True)), "doc_id", "full")
-    out = rows.join(per_doc, "doc_id", "left").withColumn("copy", F.col("first").isNull())
-    done = out.select("doc_id", "text", "ranges", "copy").mapInPandas(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = rows.join(per_doc, "doc_id", "left").select("doc_id", "text", "ranges").mapInPandas(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
