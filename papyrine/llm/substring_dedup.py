@@ -22,8 +22,9 @@ from papyrine.llm.bwt import STOP, repeated_prefixes
 from papyrine.llm.common import Scratch
 from papyrine.llm.shingles import _powers, mix
 
-#: Bytes of a removable string, of the parts that are hashed, starts in a run, bytes of a bucket, runs of a hot hash.
-LEAST, GRAM, RUN, BUCKET_BYTES, HOT = 100, 32, 256, 1 << 20, 512
+#: Bytes of a removable string, of the parts that are hashed, starts in a run, bytes of a bucket, runs that fill a bucket
+#: by themselves (more make a hash hot).
+LEAST, GRAM, RUN, BUCKET_BYTES, HOT = 100, 32, 256, 1 << 20, 8192
 _REACH = LEAST - GRAM + 1
 
 
