@@ -4,16 +4,219 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papyrine.convert import convert_table, dom_nodes
+from papyrine.functions import code, text, url
+from papyrine.options import PROFILES, Options
+from papyrine.plans import batch
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "pages")
+
+
+def _spread(pages: DataFrame) -> DataFrame:
+    """Pages dealt over all cores: a small file scans as one partition, and parsing is what takes time."""
+    return pages.repartition(max(1, pages.sparkSession.sparkContext.defaultParallelism), "page_id")
+
+
+# -- URLs
+_KEYS = ", ".join(f"'{k}'" for k in url.TRACKING)
+_STRIP = f"""case when regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:') and regexp_matches(u, '^[^#]*[?]') then
+  split_part(u, '?', 1) || (select case when len(l) > 0 then '?' || array_to_string(l, '&') else '' end from (select list_filter(
+    string_split(regexp_extract(u, '[?]([^#]*)', 1), '&'), lambda p: p <> '' and split_part(p, '=', 1) not in ({_KEYS})) l)) ||
+  regexp_extract(u, '#.*$') else u end"""
+
+
+@query(f"select page_id, {_STRIP} as clean_url from (select page_id, url u from pages)")
+def url_strip_tracking(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.strip_tracking(F.col("url")).alias("clean_url"))
+
+
+@query("select lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as host, count(*) as pages from pages group by 1")
+def pages_per_host(spark, sf_dir):
+    return _pages(spark, sf_dir).groupBy(url.host(url.strip_tracking(F.col("url"))).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+_SCHEMES = "case page_id % 4 when 0 then 'javascript:' || url when 1 then ' DATA:' || url when 2 then 'mailto:' || url else url end"
+
+
+@query(f"select page_id, case when lower(split_part(ltrim(u), ':', 1)) in ('javascript', 'data', 'file') then '' else u end as kept from (select page_id, {_SCHEMES} u from pages)")
+def url_scheme_block(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.block_scheme(F.expr(_SCHEMES)).alias("kept"))
+
+
+@query(r"select page_id, regexp_replace(regexp_replace(url, '^https?://([^/]+)', 'https://cdn.example/\1', 'g'), '#.*$', '', 'g') as rewritten from pages")
+def url_rewrite_rules(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.rewrite(F.col("url"), [(r"^https?://([^/]+)", "https://cdn.example/$1"), ("#.*$", "")]).alias("rewritten"))
+
+
+_SRCSET = "url || ' 320w, ' || url || 'b 1280w , ' || url || case when page_id % 2 = 0 then 'c 2x' else 'd 1280w' end"
+
+
+@query("select page_id, url as src from pages")
+def srcset_first(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.pick_srcset(F.expr(_SRCSET)).alias("src"))
+
+
+@query("select page_id, url || case when page_id % 2 = 0 then 'c' else 'd' end as src from pages")
+def srcset_largest(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.pick_srcset(F.expr(_SRCSET), "largest").alias("src"))
+
+
+@query(r"select page_id, replace(replace(u, '(', '\('), ')', '\)') as destination from (select page_id, url || '(' || page_id || ')' u from pages)")
+def url_escape_destination(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", url.escape_destination(F.expr("url || '(' || page_id || ')'")).alias("destination"))
+
+
+# -- strings: inputs are derived so that each operator has something to do
+def _string(name: str, made: str, f: Callable[[Column], Column], sql: str, spark_made: str | None = None) -> None:
+    def run(spark, sf_dir):
+        return _read(spark, sf_dir, "documents").select("doc_id", f(F.expr(spark_made or made)).alias("out"))
+
+    run.__name__ = name
+    query(f"select doc_id, {sql} as out from (select doc_id, {made} x from documents)")(run)
+
+
+_string("compress_whitespace", "replace(text, ' ', chr(9) || '  ')", text.compress_whitespace, r"regexp_replace(x, '[ \t\n\r\f]+', ' ', 'g')")
+_string("trim_lines", "replace(text, chr(10), '  ' || chr(9) || chr(13) || chr(10)) || ' ' || chr(10)", text.trim_lines, r"regexp_replace(regexp_replace(x, '[\t\r\f\v\x{0085}\p{Z}]+(\n|\z)', '\1', 'g'), '\n\z', '')")
+_string("final_newline_ensure", "case when doc_id % 2 = 0 then text || chr(10) else text end", text.final_newline, "case when ends_with(x, chr(10)) then x else x || chr(10) end")
+_string("final_newline_suppress", "text || chr(10) || chr(10)", lambda x: text.final_newline(x, "suppress"), r"regexp_replace(x, '\n+\z', '')")
+_string("fold_nbsp", "replace(text, ' ', chr(160))", text.fold_nbsp, "replace(x, chr(160), ' ')", spark_made="replace(text, ' ', decode(X'C2A0', 'UTF-8'))")
+_string("yaml_quote", "'a\"b' || chr(9) || chr(92) || text", text.yaml_quote, r"""'"' || replace(replace(replace(replace(replace(x, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"'""")
+_string("escape_mdx", "replace(replace(text, '. ', '} <b '), ', ', '{ < ')", text.escape_mdx, r"regexp_replace(regexp_replace(x, '([{}])', '\\\1', 'g'), '<([A-Za-z/>])', '\\<\1', 'g')")
+_string("escape_html_like", "replace(replace(text, '. ', ' <!x </b '), ', ', ' <?p < ')", text.escape_html_like, r"regexp_replace(x, '<(/?[A-Za-z]|[?!])', '\\<\1', 'g')")
+_string("csv_quote", "case when doc_id % 3 = 0 then text || '\"' when doc_id % 3 = 1 then lang else text end", text.csv_quote, """case when regexp_matches(x, '[,"\n]') then '"' || replace(x, '"', '""') || '"' else x end""")
+_string("fence_size", "repeat('`', cast(doc_id % 7 as int)) || ' ' || repeat('`', cast(doc_id % 4 as int))", text.fence, "case when doc_id % 7 >= 3 or doc_id % 4 >= 3 then repeat('`', 1 + greatest(cast(doc_id % 7 as int), cast(doc_id % 4 as int))) else '```' end")
+
+
+def _markdown(x: str) -> str:
+    return f"'# ' || lang || chr(10) || '> ' || replace(replace({x}, '. ', ' **bold** [link](u) ![i](v) `c` '), ', ', ' *em* ') || chr(10) || '- item' || chr(10) || '1. one' || chr(10) || '---'"
+
+
+def _strip_sql() -> str:
+    out = "x"
+    for pattern, to in text.MARKDOWN_STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return rf"regexp_replace(regexp_replace({out}, '^\s+|\s+\z', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+_string("strip_markdown", _markdown("text"), text.strip_markdown, _strip_sql())
+
+_SNIPPETS = ["fn main() {", "def f(x):", "SELECT * FROM t", "<?php echo 1;", "#include <a.h>", "func f(", '{ "a": 1 }', "<p>x</p>", "plain words", "echo hi", "using System;"]
+_CODE = "case doc_id % 11 " + " ".join(f"when {i} then '{s}'" for i, s in enumerate(_SNIPPETS)) + " end"
+
+
+@query("select doc_id, case doc_id % 11 when 0 then 'rust' when 1 then 'python' when 2 then 'sql' when 3 then 'php' when 4 then 'c' when 5 then 'go' when 6 then 'json' when 7 then 'html' when 9 then 'shell' when 10 then 'cs' end as language from documents")
+def detect_language(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", code.detect_language(F.expr(_CODE)).alias("language"))
+
+
+@query("""select doc_id, case when t is null and d is null then '' else '---' || chr(10) || array_to_string(list_filter([
+  case when t is not null then 'title: "' || t || '"' end, case when d is not null then 'description: "' || replace(d, chr(10), '\\n') || '"' end], lambda v: v is not null), chr(10)) || chr(10) || '---' || chr(10) end as block
+  from (select doc_id, case when doc_id % 3 > 0 then lang end t, case when doc_id % 3 > 1 then source || chr(10) end d from documents)""".replace("\\\\n", "\\n"))
+def frontmatter(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    title, about = F.expr("case when doc_id % 3 > 0 then lang end"), F.expr("case when doc_id % 3 > 1 then source || chr(10) end")
+    return docs.select("doc_id", text.frontmatter(title, about, F.lit(None).cast("string")).alias("block"))
+
+
+# -- limits and the batch layer
+@query("select page_id, strlen(html) as n_bytes, strlen(html) > 4000 as over from pages")
+def size_limits(spark, sf_dir):
+    n = F.octet_length("html").cast("long")
+    return _pages(spark, sf_dir).select("page_id", n.alias("n_bytes"), (n > 4000).alias("over"))
+
+
+_STEM = r"regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)[.][^./]*$', '\1')"
+
+
+@query(f"select 'out/' || {_STEM} || '.md' as output_path, count(*) as inputs from pages group by 1 having count(*) > 1")
+def output_collisions(spark, sf_dir):
+    return batch.collisions(_pages(spark, sf_dir).select(batch.output_path(F.col("url"), "out").alias("output_path")))
+
+
+def _jobs(spark, sf_dir) -> DataFrame:
+    return _pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("input_path"), F.expr("'out/' || page_id || '.md'").alias("output_path"), "html", F.col("url").alias("markdown"))
+
+
+def _previous(spark, sf_dir) -> DataFrame:
+    old = F.expr("case when page_id % 5 = 0 then url || '!' else url end")
+    return _pages(spark, sf_dir).filter("page_id % 3 > 0").select(F.expr("'out/' || page_id || '.md'").alias("output_path"), old.alias("markdown"))
+
+
+@query("select page_id::varchar as input_path, sha256(html) as input_hash, sha256(url) as output_hash, page_id % 3 = 0 or page_id % 5 = 0 as changed, page_id % 3 > 0 as skipped from pages")
+def check_changed(spark, sf_dir):
+    return batch.records(_jobs(spark, sf_dir), _previous(spark, sf_dir), "skip-existing").select("input_path", "input_hash", "output_hash", "changed", "skipped")
+
+
+@query("select count(*) as files, count(*) filter (where page_id % 3 = 0) as changed, count(*) filter (where page_id % 3 > 0) as skipped, 0::bigint as errors from pages")
+def manifest_counts(spark, sf_dir):
+    return batch.manifest(batch.records(_jobs(spark, sf_dir), _previous(spark, sf_dir), "skip-existing"))
+
+
+# -- trees
+_REFS = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+
+
+@query(f"select page_id, trim({_REFS.format('regexp_extract(html, $$<title>([^<]*)</title>$$, 1)')}) as title from pages")
+def page_title(spark, sf_dir):
+    done = convert_table(_spread(_pages(spark, sf_dir)))
+    return done.select("page_id", F.col("result.title").alias("title"))
+
+
+@query("select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages")
+def page_links(spark, sf_dir):
+    nodes = dom_nodes(_spread(_pages(spark, sf_dir)), "page_id").filter("tag = 'a'")
+    return nodes.select("page_id", F.expr("filter(attrs, a -> a.name = 'href')[0].value").alias("href"))
+
+
+@query("select page_id, len(regexp_extract_all(html, '<p>'))::bigint as paragraphs, len(regexp_extract_all(html, '<li>'))::bigint as items from pages")
+def tag_counts(spark, sf_dir):
+    nodes = dom_nodes(_spread(_pages(spark, sf_dir)), "page_id")
+    return nodes.groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "li").alias("items"))
+
+
+def _converted(profile: str) -> Query:
+    def run(spark, sf_dir):
+        done = convert_table(_spread(_pages(spark, sf_dir)), Options.of(profile))
+        return done.select("page_id", "url", "result.markdown", "result.title", "result.error")
+
+    run.__name__ = f"convert_{profile.replace('-', '_')}"
+    return run
+
+
+for _p in PROFILES:
+    query()(_converted(_p))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return QUERIES["convert_commonmark"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
