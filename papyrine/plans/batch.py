@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def output_path(path: Column, directory: str, base: str = "", mirror: bool = False) -> Column:
@@ -57,7 +58,7 @@ def triage(found: DataFrame) -> DataFrame:
     return found.groupBy(F.coalesce(F.substring_index("error", ":", 1), F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Lines that go (-) and come (+); null where nothing changes."""
 
