@@ -6,8 +6,9 @@ COORDINATES - MATCHES + 1 entries of their signatures (prefix), so only those ar
 are skipped. Pairs of a list are counted on whole signatures, those with enough collisions confirmed on whole sets.
 
 No list is expanded into all of its pairs as long as its documents hang together: first, each list is compared with its
-most central document; what that links is one component and needs no further pairs. The same is done once more for what
-is left. At last the pairs of a list that still lie in different components are compared, without any cap.
+most central document; what that links is one component and needs no further pairs. Then, in two turns, documents are
+compared with up to PIVOTS members of their lists that lie in other components, spread by a hash. At last the pairs of a
+list that still lie in different components are compared, without any cap.
 Documents with equal shingle sets are one class from the start, and only its smallest id takes part.
 """
 
@@ -25,6 +26,8 @@ from papyrine.llm.shingles import mix, shingle_sets
 #: Coordinates of a signature and collisions of a candidate. Documents at similarity 0.75 collide less often than
 #: MATCHES with a chance of about one in 10**8.
 COORDINATES, MATCHES = 64, 28
+#: Members of a list that the others are compared with in one turn.
+PIVOTS = 16
 #: A link is at least this many hundredths of shared shingles.
 PERCENT = 75
 
@@ -100,15 +103,18 @@ def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         best = F.max(F.struct("central", (-F.col("doc_id")).alias("minus"), "label")).alias("c")
         return lists.groupBy("token").agg(best).select("token", (-F.col("c.minus")).alias("a"), F.col("c.label").alias("la"))
 
-    lists = posted.withColumn("label", F.col("doc_id"))
-    first = centres(lists)
-    links = confirmed(lists.join(first, "token").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")), "first")
-    lists = scratch.table(labelled(links, "first"), "first-labels")
-    # What the first centre of a list didn't reach, directly or in the end.
-    far = lists.join(centres(lists), "token").filter("label <> la").drop("a", "la")
-    second = centres(scratch.table(far, "far"))
-    links = scratch.table(links.unionAll(confirmed(lists.join(second, "token").filter("label <> la").select("a", F.col("doc_id").alias("b")), "second")), "links2")
-    lists = scratch.table(labelled(links, "second"), "second-labels")
+    def spread(lists: DataFrame, turn: int) -> DataFrame:
+        """Up to PIVOTS documents of each list, others in each turn."""
+        h = F.xxhash64("doc_id", F.lit(turn))
+        best = lists.groupBy("token", F.pmod(h, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(h.alias("h"), "doc_id", "label")).alias("c"))
+        return best.select("token", F.col("c.doc_id").alias("a"), F.col("c.label").alias("la"))
+
+    lists, links = posted.withColumn("label", F.col("doc_id")), None
+    for turn, name in enumerate(("centre", "spread1", "spread2")):
+        pivots = spread(lists, turn) if turn else centres(lists)
+        new = confirmed(lists.join(pivots, "token").filter("label <> la").select("a", F.col("doc_id").alias("b")), name)
+        links = scratch.table(links.unionAll(new), f"{name}-all") if turn else new
+        lists = scratch.table(labelled(links, name), f"{name}-labels")
     # Lists that still have several components are compared across these.
     open_ = lists.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
     rest = scratch.table(lists.join(open_, "token", "left_semi").select("token", "doc_id", "label"), "open")
