@@ -57,6 +57,8 @@ def repeated_prefixes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
         owner = np.repeat(np.arange(len(lo)), size)
         on = before[at] != STOP
         place, owner = back[at[on]], owner[on]
+        if not len(place):
+            break
         o = np.argsort(place, kind="stable")
         place, owner = place[o], owner[o]
         first = np.ones(len(place), bool)

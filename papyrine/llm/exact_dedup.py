@@ -100,9 +100,11 @@ def _build(lead: int):
                 pool = [_merge(pool)]
                 held = 0
         prints, counts = _merge(pool)
+        if not len(prints):
+            return
         rest = 64 - lead
         segment = (prints >> np.uint64(rest)).astype(np.int64) if lead else np.zeros(len(prints), np.int64)
-        first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(prints) else []
+        first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         out = []
         for a, b in zip(first, [*first[1:], len(prints)], strict=True):
             low = prints[a:b] & np.uint64((1 << rest) - 1)
