@@ -22,18 +22,20 @@ from papyrine.llm.common import LOWER, UPPER, id_crc
 #: Bounds of the training sample: texts of each class, and bytes of a text that may be in it.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 3000, 65_536
 #: Bytes of each dictionary's own part, words in a window, compression level.
-TOXIC_BYTES, ORDINARY_BYTES, WINDOW, LEVEL = 4096, 8192, 12, 12
-#: A toxic word stands in this share of contexts to toxic training texts at least, and this much (log) more often.
-SUPPORT, ODDS = 0.02, 2.0
+TOXIC_BYTES, ORDINARY_BYTES, WINDOW, LEVEL = 4096, 8192, 12, 6
+#: A toxic word has contexts as many as this share of toxic training texts at least, stands this much (log) more often
+#: in them, and its log odds are this many standard errors above zero: enough after a test of each of some 10**6 words.
+SUPPORT, ODDS, DEVIATIONS = 0.02, 2.0, 5.0
 #: Documents at or above this score are rejected.
 THRESHOLD = 0.7
 
-_FOLD = str.maketrans(UPPER, LOWER)
-_EDGES = ".,;:!?\"'()[]{}*%&#$_-"
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_EDGES = b".,;:!?\"'()[]{}*%&#$_-"
 
 
-def words_of(text: str) -> list[str]:
-    return [w.strip(_EDGES) for w in text.translate(_FOLD).split()]
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words between ASCII white space, as UTF-8 without marks at their edges."""
+    return [w.strip(_EDGES) for w in text.encode("utf-8", "surrogatepass").translate(_FOLD).split()]
 
 
 def _contexts(texts: list[str]) -> Counter:
@@ -41,19 +43,19 @@ def _contexts(texts: list[str]) -> Counter:
     seen = set()
     for t in texts:
         w = words_of(t)
-        seen.update(zip(["", *w[:-1]], w, [*w[1:], ""], strict=True))
+        seen.update(zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True))
     return Counter(w for _, w, _ in seen if w)
 
 
-def _content(weights: dict[str, float], size: int) -> bytes:
+def _content(weights: dict[bytes, float], size: int) -> bytes:
     """Dictionary content: the heaviest words, the heaviest last, as zstandard reaches the end most cheaply."""
     out, used = [], 0
     for w in sorted(weights, key=lambda w: (-weights[w], w)):
-        used += len(w.encode()) + 1
+        used += len(w) + 1
         if used > size:
             break
         out.append(w)
-    return " ".join(out[::-1]).encode()
+    return b" ".join(out[::-1])
 
 
 @dataclass(frozen=True)
@@ -90,7 +92,7 @@ def features(toxic: bytes, ordinary: bytes, texts: list[str]) -> np.ndarray:
         w = words_of(text)
         gain = [0, 0]
         for a in range(0, len(w), WINDOW):
-            window = f" {' '.join(w[a : a + WINDOW])} ".encode()
+            window = b" " + b" ".join(w[a : a + WINDOW]) + b" "
             g = len(without.compress(window)) - len(with_toxic.compress(window))
             if g > 0:
                 gain.append(g)
@@ -110,7 +112,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     a, b = _contexts(bad), _contexts(good)
     na, nb = max(1, sum(a.values())), max(1, sum(b.values()))
     odds = {w: np.log((n + 1) / na) - np.log((b[w] + 1) / nb) for w, n in a.items() if n >= max(3, SUPPORT * len(bad))}
-    marks = {w: float(a[w]) for w, x in odds.items() if x > ODDS}
+    marks = {w: float(a[w]) for w, x in odds.items() if x > max(ODDS, DEVIATIONS * np.sqrt(1 / (a[w] + 1) + 1 / (b[w] + 1)))}
     plain = {w: float(n) for w, n in b.items() if w not in marks and n >= max(2, SUPPORT * len(good))}
     toxic, ordinary = _content(marks, TOXIC_BYTES), _content(plain, ORDINARY_BYTES)
     x = features(toxic, ordinary, bad + good)
