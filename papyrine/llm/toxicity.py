@@ -24,7 +24,7 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 3000, 65_536
 #: Bytes of each dictionary's own part, words in a window, compression level.
 TOXIC_BYTES, ORDINARY_BYTES, WINDOW, LEVEL = 4096, 8192, 12, 6
 #: A toxic word has contexts as many as this share of toxic training texts at least, stands this much (log) more often
-#: in them, and its log odds are this many standard errors above zero: enough after a test of each of some 10**6 words.
+#: in them, and the likelihood ratio of its counts is this many deviations: enough after a test of each of some 10**6 words.
 SUPPORT, ODDS, DEVIATIONS = 0.02, 2.0, 5.0
 #: Documents at or above this score are rejected.
 THRESHOLD = 0.7
@@ -112,7 +112,14 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     a, b = _contexts(bad), _contexts(good)
     na, nb = max(1, sum(a.values())), max(1, sum(b.values()))
     odds = {w: np.log((n + 1) / na) - np.log((b[w] + 1) / nb) for w, n in a.items() if n >= max(3, SUPPORT * len(bad))}
-    marks = {w: float(a[w]) for w, x in odds.items() if x > max(ODDS, DEVIATIONS * np.sqrt(1 / (a[w] + 1) + 1 / (b[w] + 1)))}
+    def sure(w: bytes) -> bool:
+        """The log-likelihood ratio of the word's counts in both classes, as a number of deviations, is high enough."""
+        n, m = a[w], b[w]
+        even = (n + m) / (na + nb)
+        ratio = n * np.log(n / (na * even)) + (m * np.log(m / (nb * even)) if m else 0.0)
+        return 2 * ratio > DEVIATIONS**2
+
+    marks = {w: float(a[w]) for w, x in odds.items() if x > ODDS and sure(w)}
     plain = {w: float(n) for w, n in b.items() if w not in marks and n >= max(2, SUPPORT * len(good))}
     toxic, ordinary = _content(marks, TOXIC_BYTES), _content(plain, ORDINARY_BYTES)
     x = features(toxic, ordinary, bad + good)
