@@ -85,19 +85,24 @@ class EliasFano:
         start = before + first - k
         size = np.where(whole & inside, last - first, 0)
         torn = np.flatnonzero(inside & ~whole)
-        for i in torn.tolist():  # a crowded row of buckets runs over the word
-            a, b = self._bucket(int(upper[i]))
-            start[i], size[i] = a, b - a
+        if len(torn):  # a crowded row of buckets runs over the word
+            crowded, back = np.unique(upper[torn], return_inverse=True)
+            ends = np.array([self._bucket(u) for u in crowded.tolist()], np.int64)
+            start[torn], size[torn] = ends[back, 0], ends[back, 1] - ends[back, 0]
         want = x & np.uint64((1 << self.low) - 1)
         out = np.full(len(x), -1, np.int64)
-        step, on = 0, np.flatnonzero(size > 0)
+        # The lower bits of a bucket's numbers increase, so the places left are halved.
+        on = np.flatnonzero(size > 0)
+        a, b = start[on], start[on] + size[on]
         while len(on):
-            i = start[on] + step
-            hit = self._low(i) == want[on]
+            i = (a + b) >> 1
+            got = self._low(i)
+            hit = got == want[on]
             out[on[hit]] = i[hit]
-            step += 1
-            on = on[~hit]
-            on = on[size[on] > step]
+            less = got < want[on]
+            a, b = np.where(less, i + 1, a), np.where(less, b, i)
+            left = ~hit & (a < b)
+            on, a, b = on[left], a[left], b[left]
         return out
 
     def _bucket(self, upper: int) -> tuple[int, int]:

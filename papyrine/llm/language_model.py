@@ -1,8 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Level one holds the words (64-bit hashes, sorted) with their counts and the quantised weight that each leaves to the
-level below; level two holds, for each word as a context, the words that follow it more than once, with quantised
-discounted counts. Successors of a context are made one increasing sequence by adding the context's rank in front, so a
+level below; level two holds, for each word as a context, all words that follow it, with quantised discounted
+counts. Successors of a context are made one increasing sequence by adding the context's rank in front, so a
 search is relative to its context. Both levels are cut into shards by hash, written to the shared folder and
 memory-mapped by the scoring tasks; a hot context is spread over SALTS shards.
 
@@ -26,10 +26,10 @@ from papyrine.llm.elias_fano import EliasFano
 from papyrine.llm.records import _open
 from papyrine.llm.shingles import mix, word_hashes
 
-#: Discount of a pair's count, least count of a kept pair, shards over which a context is spread.
-DISCOUNT, LEAST, SALTS = 0.75, 2, 16
+#: Discount of a pair's count, shards over which a context is spread.
+DISCOUNT, SALTS = 0.75, 16
 #: Bytes of training text behind one shard, and pairs that a task gathers before it hands them on.
-SHARD_BYTES, FLUSH = 8 << 20, 1_500_000
+SHARD_BYTES, FLUSH = 8 << 20, 1_000_000
 #: Hashes of the end and of what stands before the first word.
 END, BEGIN = np.uint64(0x5BD1E995A5A5A5A5), np.uint64(0x27D4EB2F165667C5)
 #: Steps of a quantised count for each doubling, steps of a weight.
@@ -37,12 +37,12 @@ FINE, WEIGHTS = 8, 255
 
 
 def quantise(count: np.ndarray) -> np.ndarray:
-    """Code of a discounted count, rounded down."""
+    """Code of a discounted count, rounded down; 0 stands for the discounted count of one."""
     return np.floor(FINE * np.log2(count - DISCOUNT + 1e-12) + 1e-9).astype(np.int64).clip(0, 255).astype(np.uint8)
 
 
 def value(code: np.ndarray) -> np.ndarray:
-    return np.exp2(code.astype(np.float64) / FINE)
+    return np.where(code == 0, 1 - DISCOUNT, np.exp2(code.astype(np.float64) / FINE))
 
 
 def _pair_shard(h1: np.ndarray, h2: np.ndarray, bits: int) -> np.ndarray:
@@ -120,7 +120,7 @@ def _gather(bits: int):
     def run(batches):
         left, right, held = [], [], 0
         for batch in batches:
-            for part in _chunks(batch["text"].to_list()):
+            for part in _chunks(batch["text"].to_list(), 1 << 18):
                 token, counts = tokens(part)
                 left.append(_before(token, counts))
                 right.append(token)
@@ -172,7 +172,7 @@ def _load(path: str, name: str) -> tuple[dict, list[np.ndarray]]:
 
 
 def _pairs(path: str):
-    """Writes a shard of level two; returns what its kept pairs take from each context."""
+    """Writes a shard of level two; returns what its pairs take from each context."""
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -180,8 +180,7 @@ def _pairs(path: str):
             n = len(blob) // 16
             parts.append((np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u4", n, 8 * n), np.frombuffer(blob, "<u4", n, 12 * n)))
         h1, h2, n = _counted(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
-        keep = n >= LEAST
-        h1, h2, n = h1[keep], h2[keep], n[keep]
+        del parts
         context, rank = np.unique(h1, return_inverse=True)
         code = quantise(n)
         node = EliasFano.of((rank.astype(np.uint64) << np.uint64(32)) | h2.astype(np.uint64), max(1, len(context)) << 32)

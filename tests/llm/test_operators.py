@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -197,6 +198,33 @@ def test_language_model(spark, docs, empty, tmp_path):
     assert lm.score(empty, lm.train(empty, str(tmp_path / "e"))).count() == 0
 
 
+def test_pairs_seen_once(spark, docs, tmp_path):
+    model = lm.train(docs.filter(~lm.held_out(docs.doc_id)), str(tmp_path / "m"))
+    words = {i: ["\0begin", *re.findall(r"[^\x20\x09-\x0D]+", low(t)), "\0end"] for i, t in texts().items()}
+    train = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two, taken = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(w, w[1:])), Counter()
+    n, known = sum(one.values()) - one["\0begin"], len(one) - 1
+    left = {p: 0.25 if k == 1 else 2 ** (math.floor(8 * math.log2(k - 0.75) + 1e-9) / 8) for p, k in two.items()}
+    for (h, _), k in left.items():
+        taken[h] += k
+    weight = {h: max(1, math.floor(255 * min(1, max(0, (c - taken[h]) / c)))) / 255 for h, c in one.items()}
+
+    def p(h, w):
+        return left.get((h, w), 0) / max(one[h], 1) + weight.get(h, 1) * (one[w] + 1) / (n + known + 1)
+
+    assert sum(k == 1 for k in two.values()) > 100
+    for r in lm.score(docs, model).collect():
+        w = words[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(*x)) for x in zip(w, w[1:])), rel=2e-3)
+
+
+def test_elias_fano_crowded():
+    v = np.unique(np.concatenate([np.arange(0, 90_000, 3), np.arange(1 << 38, (1 << 38) + 500, 2), np.arange(1, 400) << 31]).astype(np.uint64))
+    e, q = EliasFano.of(v, 1 << 40), np.concatenate([v, v + np.uint64(1)])
+    place = {int(a): i for i, a in enumerate(v)}
+    assert e.find(q).tolist() == [place.get(int(a), -1) for a in q]
+
+
 def test_secrets(docs, empty):
     kinds = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
     for r in scan(docs).collect():
