@@ -1,8 +1,10 @@
 """Secret scans with corpus-wide ownership, in DataFrame functions alone.
 
 Base detectors give spans of three kinds. On top of that, candidate values (base values and further long mixed tokens)
-are hashed and counted over distinct sources and documents: a value that many sources share is a copied example, one
-that a single owner holds and that looks random is live. Live tokens outside the base spans add spans of kind ``live``.
+are hashed and counted over distinct sources and documents: a value that more than a few sources or documents share is a
+copied example, one that few hold and that looks random is live. The table has neither repositories nor owners: a
+document (its id) stands for a repository, a source for an owner. Live tokens outside the base spans add spans of kind
+``live``.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ BASE = {
 #: Further candidates: long tokens with a digit and letters of both cases.
 EXTRA = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}"
 ORDER = ("assign", "access", "hex", "live")
-#: A value that more sources than this share is an example; a live value has this many different characters.
-MAX_SOURCES, MIN_DISTINCT = 1, 10
+#: A value that more sources or more documents than this share is an example (a document and its mirror in one other
+#: source aren't enough); a live value has this many different characters.
+MAX_SOURCES, MAX_DOCUMENTS, MIN_DISTINCT = 2, 3, 10
 
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
@@ -60,8 +63,8 @@ def _is(kind: int):
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
-    A null text is empty and has no spans. ``n_live`` counts the document's values that one source owns, ``n_example``
-    those that several share; a null source is a source of its own. Rows that repeat an id get the extra spans that any
+    A null text is empty and has no spans. ``n_live`` counts the document's values that at most MAX_SOURCES
+    sources and MAX_DOCUMENTS documents hold, ``n_example`` those that more share; a null source is a source of its own. Rows that repeat an id get the extra spans that any
     of them has only where their own text has them, as spans are joined by id and text hash; a null id is an id.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -72,14 +75,14 @@ def scan(docs: DataFrame) -> DataFrame:
     free = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
     rows = rows.withColumn("extra", free)
 
-    # Ownership: one row for each value and source after partial counts, then one for each value.
+    # Ownership: one row for each value and source, and for each value and document, after partial counts, then one for
+    # each value. The struct makes a null id count.
     held = rows.filter("size(base) + size(extra) > 0").select("doc_id", "text_key", "source", F.inline(F.concat("base", "extra")))
     held = held.withColumn("value_key", F.xxhash64("value"))
-    owners = held.groupBy("value_key", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("value_key").agg(F.count(F.lit(1)).alias("n_sources"), F.sum("n").alias("n_uses"))
+    owners = held.groupBy("value_key").agg(F.count_distinct("source").alias("n_sources"), F.count_distinct(F.struct("doc_id")).alias("n_docs"))
+    owners = owners.select("value_key", ((F.col("n_sources") > MAX_SOURCES) | (F.col("n_docs") > MAX_DOCUMENTS)).alias("example"))
     mixed = F.size(F.array_distinct(F.split("value", ""))) >= MIN_DISTINCT
-    judged = held.join(owners, "value_key").select(
-        "doc_id", "text_key", "kind", "start", "end", ((F.col("n_sources") <= MAX_SOURCES) & mixed).alias("live"), (F.col("n_sources") > MAX_SOURCES).alias("example")
-    )
+    judged = held.join(owners, "value_key").select("doc_id", "text_key", "kind", "start", "end", (~F.col("example") & mixed).alias("live"), "example")
     per_doc = judged.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.when((F.col("kind") == 3) & F.col("live"), F.struct("kind", "start", "end"))).alias("added"),
         F.count_if("live").alias("n_live"),

@@ -235,6 +235,15 @@ def test_secrets(docs, empty):
     assert scan(empty).count() == 0
 
 
+def test_ownership(spark):
+    copied, mirrored, own = "Zq3" + "kP7xWm2LtRb9" * 2, "Hn8" + "vC4dJy6GsQf1" * 2, "Tb5" + "aM9eXu3KwZr7" * 2
+    rows = [(i, f"place {i} {copied} here", "hot") for i in range(20)] + [(30, f"mine {mirrored} x", "a"), (31, f"mine {mirrored} x", "b"), (None, f"one {own} x", None)]
+    rows += [(40 + i, f"wide {own[::-1]} {i}", f"s{i}") for i in range(3)]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((got[i].n_live, got[i].n_example, got[i].spans) == (0, 1, "") for i in [*range(20), 40, 41, 42])
+    assert all((got[i].n_live, got[i].n_example, got[i].spans) == (1, 0, f"live:{a}:{a + 27}") for i, a in ((30, 5), (31, 5), (None, 4)))
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(5)
     plain = [" ".join(r.choice("the of and river stone walks over green hill".split()) for _ in range(80)) for _ in range(300)]
