@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("papyrine.llm.queries")
 
 from papyrine.llm import language_model as lm  # noqa: E402
-from papyrine.llm import licenses, toxicity  # noqa: E402
+from papyrine.llm import licenses, queries, toxicity  # noqa: E402
 from papyrine.llm.common import Scratch  # noqa: E402
 from papyrine.llm.decontaminate import Index, report  # noqa: E402
 from papyrine.llm.elias_fano import EliasFano  # noqa: E402
@@ -153,6 +153,31 @@ def test_leaks(spark, docs, empty):
     assert Index(docs, bench.limit(0), Scratch(spark, "t")).phrases().count() == 0
 
 
+def test_near_leaks(spark, tmp_path):
+    r = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(r.choices(vocabulary, k=14))) for k in range(6)] + [(6, "w1 w1 w1"), (7, "w2 w3")]
+    rows = [(i, " ".join(r.choices(vocabulary, k=80))) for i in range(30)] + [(30, None), (None, items[0][1])]
+    for i, (_, q) in enumerate(items[:6]):
+        w = q.split()
+        rows += [(40 + i, "x y " + q), (50 + i, " ".join(w[:5] + ["in", "between"] + w[5:])), (60 + i, " ".join(w[:4] + ["far"] * 5 + w[4:]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wins = {tuple(w[k : k + 10]) for _, q in items for w in [q.split()] for k in range(max(1, len(w) - 9))}
+    count = Counter(x for _, t in rows for x in (t or "").split())
+    got = {x.doc_id: x for x in queries.op5_decontaminate(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in rows:
+        w, want[i] = (t or "").split(), 0
+        for win in wins:
+            best = sorted((count[x], x) for x in set(win))[:2]
+            exact = any(tuple(w[a : a + len(win)]) == win for a in range(len(w)))
+            places = [[a - win.index(x) for a, y in enumerate(w) if y == x] for _, x in best]
+            want[i] += len(best) > 1 and not exact and any(abs(a - b) <= 4 for a in places[0] for b in places[1])
+    assert {i: x.n_near for i, x in got.items()} == want
+    assert all(want[50 + i] for i in range(6)) and got[40].contaminated and not got[30].n_near
+
+
 def test_packing(spark, docs, empty):
     cells = np.array([[a, b] for a in range(8) for b in range(8)])
     order = cells[np.argsort(hilbert_key(cells, 3))]
