@@ -5,10 +5,15 @@ looked up with the smallest B >= n, so it lies in one window as a whole. A windo
 template then has a Jaccard similarity of 0.375 / 2.125 = 0.176 with it at least, and BANDS bands of one row collide with a
 probability of 1 - (1 - 0.176) ** BANDS, more than 0.99999. What is retrieved is verified on the window and a block on
 either side: the share of the template's shingles found there must reach CONTAINMENT.
+
+Words are compared without the punctuation at their edges, and those without a letter or digit (comment markers, rules)
+are passed over, in documents and templates alike; places are counted in words as they stand.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.shingles import SHINGLE, _combine, mix, word_hashes
+from papyrine.llm.shingles import _FOLD, _SPACE, SHINGLE, _combine, _powers, mix
 
 #: Bands of one row, least share of a template's shingles, shingles in the smallest block.
 BANDS, CONTAINMENT, BLOCK = 64, 0.75, 4
@@ -40,11 +45,38 @@ _FACTORS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478
 _BITS = 20
 
 
-def _shingles(text: str) -> tuple[np.ndarray, int]:
-    words, _ = word_hashes([text.encode("utf-8", "surrogatepass")])
+#: Bytes of letters, digits and of characters beyond ASCII; of the latter, punctuation and symbols are folded to '.' before.
+_CORE = np.zeros(256, bool)
+_CORE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+@lru_cache(maxsize=1)
+def _marks() -> dict[int, str]:
+    return {c: "." for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in "PS"}
+
+
+def _bare_words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words without the punctuation at their edges, and which words of the text they are."""
+    if not text.isascii():
+        text = text.translate(_marks())
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_FOLD) + b" ", np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[data]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    core = _CORE[data]
+    before, at = np.concatenate([[0], np.cumsum(core)]), np.flatnonzero(core)
+    place = np.flatnonzero(before[end] > before[start])
+    a, b = at[before[start[place]]], at[before[end[place]] - 1] + 1
+    p, q = _powers(1 << max(20, len(data).bit_length()))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
+    return mix((total[b] - total[a]) * q[a]), place
+
+
+def _shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    words, place = _bare_words(text)
     if len(words) >= SHINGLE:
-        return _combine(words, SHINGLE), len(words)
-    return (_combine(words, len(words)) if len(words) else words), len(words)
+        return _combine(words, SHINGLE), place
+    return (_combine(words, len(words)) if len(words) else words), place
 
 
 class Scanner:
@@ -88,7 +120,7 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first word, end, template, containment), overlapping places of a template joined into the best one."""
-        s, n_words = _shingles(text)
+        s, place = _shingles(text)
         places: dict[str, list[tuple[int, int, float]]] = {}
         for name, a, b in sorted(self.retrieve(s), key=lambda x: x[1:]):
             own, block = self.sets[name], (b - a) // 2
@@ -98,7 +130,7 @@ class Scanner:
                 continue
             share = len(np.unique(s[a + hit])) / len(own)
             if share >= CONTAINMENT:
-                one = (a + int(hit[0]), min(n_words, a + int(hit[-1]) + SHINGLE), share)
+                one = (int(place[a + hit[0]]), int(place[min(len(place), a + int(hit[-1]) + SHINGLE) - 1]) + 1, share)
                 known = places.setdefault(name, [])
                 if known and one[0] < known[-1][1]:
                     known[-1] = (min(known[-1][0], one[0]), max(known[-1][1], one[1]), max(known[-1][2], one[2]))

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -109,6 +110,26 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("width", [72, 78])
+@pytest.mark.parametrize("mark", [" * ", "# ", "// ", ";; "])
+def test_commented_licenses(width, mark):
+    s = licenses.Scanner(tuple(licenses.TEMPLATES.items()))
+    for name, t in licenses.TEMPLATES.items():
+        lines = textwrap.wrap(t, width - len(mark), break_long_words=False)
+        found = s.scan("int x; /* one */ " * 9 + "\n/*\n" + "\n".join(mark + x for x in lines) + "\n */ int main() {}")
+        one = [x for x in found if x[2] == name]
+        # Four words a repeat; markers are words as they stand.
+        assert len(one) == 1 and one[0][3] == 1.0 and one[0][:2] == (47, 46 + sum(len((mark + x).split()) for x in lines)), (name, found)
+
+
+@pytest.mark.parametrize("end", [",", ")", "", "\u201d \u2014", " -->"])
+def test_short_notices(end):
+    s = licenses.Scanner(tuple(licenses.TEMPLATES.items()))
+    for name in (x for x in licenses.TEMPLATES if x.endswith("-notice")):
+        assert name in {x[2] for x in s.scan("lorem ipsum (" + licenses.TEMPLATES[name].rstrip(".") + end + " dolor sit amet")}
+    assert not s.scan("// ** -- \u2014 //") and not s.scan("released under the old bridge")
+
+
 def test_near(spark, docs, empty):
     sets = {}
     for i, t in texts().items():
