@@ -12,9 +12,11 @@ are passed over, in documents and templates alike; places are counted in words a
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,10 @@ from papyrine.llm.shingles import _FOLD, _SPACE, SHINGLE, _combine, _powers, mix
 #: Bands of one row, least share of a template's shingles, shingles in the smallest block.
 BANDS, CONTAINMENT, BLOCK = 64, 0.75, 4
 
-#: License notices by SPDX id.
+#: Least words of a paragraph that stands for its license.
+PARAGRAPH = 12
+
+#: License notices by SPDX id; ids joined by ``|`` share the text.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -35,7 +40,7 @@ TEMPLATES = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-2-Clause|BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
@@ -79,13 +84,76 @@ def _shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (_combine(words, len(words)) if len(words) else words), place
 
 
+#: Names of licenses as notices have them, by SPDX id.
+NAMES = {
+    "MIT": ("the MIT License",),
+    "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-Clause BSD License"),
+    "ISC": ("the ISC License",),
+    "MPL-2.0": ("the Mozilla Public License, v. 2.0", "the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"),
+    **{
+        f"{short}-{v}": (f"the GNU {long} General Public License, version {v.removesuffix('.0')}".replace("  ", " "), f"the GNU {long} General Public License v{v}".replace("  ", " "), f"the GNU {short} version {v.removesuffix('.0')}")
+        for short, long, versions in (("GPL", "", ("2.0", "3.0")), ("LGPL", "Lesser", ("2.1", "3.0")), ("AGPL", "Affero", ("3.0",)))
+        for v in versions
+    },
+    "CC0-1.0": ("the CC0 1.0 Universal", "CC0 1.0 Universal"),
+    **{
+        f"CC-{kind}-{v}": (f"CC {kind} {v}", f"a Creative Commons {name} {v} International License", f"the Creative Commons {name} {v} International License")
+        for kind, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"))
+        for v in ("4.0",)
+    },
+}
+
+
+def _notices() -> list[tuple[str, str]]:
+    """Usual wordings; a name of less than five words counts with what stands before it."""
+    return [
+        (f"{i}-notice", f"{verb} under {terms}{name}")
+        for i, names in NAMES.items()
+        for name in names
+        for verb in ("Licensed", "Released", "Distributed")
+        for terms in ("", "the terms of ")
+        if len(f"{verb} under {terms}{name}".split()) >= SHINGLE
+    ]
+
+
+@lru_cache(maxsize=1)
+def all_templates() -> tuple[tuple[str, str], ...]:
+    """(id, text) of the fixed values, of notices and of each paragraph of the whole texts in ``license_texts``. Of a
+    paragraph that several licenses have, the id is all of theirs."""
+    owners: dict[tuple, set[str]] = {}
+    text: dict[tuple, str] = {}
+    for f in sorted(files("papyrine.llm").joinpath("license_texts").iterdir(), key=lambda x: x.name):
+        if f.name.endswith(".txt"):
+            for part in re.split(r"\n[ \t\f]*\n", f.read_text("utf-8")):
+                words, _ = _bare_words(part)
+                if len(words) >= PARAGRAPH:
+                    key = tuple(words.tolist())
+                    owners.setdefault(key, set()).add(f.name.removesuffix(".txt"))
+                    text[key] = part
+    return (*TEMPLATES.items(), *_notices(), *(("|".join(sorted(owners[k])), text[k]) for k in text))
+
+
+def resolve(names: set[str]) -> dict[str, str]:
+    """What to call each name of one document: a shared text is the license of those that have it whose own text is there
+    too; the shared text of both BSD licenses without a third clause is BSD-2-Clause; others keep all ids."""
+    out = {}
+    for name in names:
+        ids = name.split("|")
+        own = [i for i in ids if i in names]
+        out[name] = own[0] if len(own) == 1 else "BSD-2-Clause" if ids == ["BSD-2-Clause", "BSD-3-Clause"] else name
+    return out
+
+
 class Scanner:
-    """Templates arranged for retrieval."""
+    """Templates arranged for retrieval; several may have the same id."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
-        self.sets: dict[str, np.ndarray] = {}
+        self.sets: dict[tuple[str, str], np.ndarray] = {}
         self.bands: dict[int, tuple[np.ndarray, dict]] = {}
-        for name, text in sorted(templates):
+        for name in sorted(set(templates)):
+            text = name[1]
             s = np.unique(_shingles(text)[0])
             if not len(s):
                 continue
@@ -98,9 +166,9 @@ class Scanner:
                 table[v >> (64 - _BITS)] = True
                 names.setdefault((j, v), set()).add(name)
 
-    def retrieve(self, s: np.ndarray) -> set[tuple[str, int, int]]:
+    def retrieve(self, s: np.ndarray) -> set[tuple[tuple[str, str], int, int]]:
         """(template, first shingle, end) of windows that share a band with a template."""
-        found: set[tuple[str, int, int]] = set()
+        found: set[tuple[tuple[str, str], int, int]] = set()
         if not len(s) or not self.bands:
             return found
         low = np.concatenate([np.minimum.reduceat(np.multiply.outer(_FACTORS, s[a : a + 4096]), np.arange(0, len(s[a : a + 4096]), BLOCK), axis=1) for a in range(0, len(s), 4096)], axis=1)
@@ -121,7 +189,7 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first word, end, template, containment), overlapping places of a template joined into the best one."""
         s, place = _shingles(text)
-        places: dict[str, list[tuple[int, int, float]]] = {}
+        places: dict[tuple[str, str], list[tuple[int, int, float]]] = {}
         for name, a, b in sorted(self.retrieve(s), key=lambda x: x[1:]):
             own, block = self.sets[name], (b - a) // 2
             a, b = max(0, a - block), min(len(s), b + block)
@@ -136,7 +204,11 @@ class Scanner:
                     known[-1] = (min(known[-1][0], one[0]), max(known[-1][1], one[1]), max(known[-1][2], one[2]))
                 else:
                     known.append(one)
-        return sorted((a, b, name, share) for name, at in places.items() for a, b, share in at)
+        best: dict[tuple[int, int, str], float] = {}
+        for (name, _), at in places.items():
+            for a, b, share in at:
+                best[a, b, name] = max(share, best.get((a, b, name), 0))
+        return sorted((*k, share) for k, share in best.items())
 
 
 @lru_cache(maxsize=2)
@@ -144,14 +216,14 @@ def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
     return Scanner(templates)
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_licenses, licenses (ids, sorted, comma-joined), spans (id:first word:end by
     place, comma-joined), containment (the largest, 0 without any).
 
     Null or blank texts have no license; rows that repeat an id are scanned each; null ids stay null; an empty table
     gives no rows. Templates are few and travel with the tasks.
     """
-    listed = tuple(sorted(templates.items()))
+    listed = all_templates() if templates is None else tuple(sorted(templates.items()))
 
     def run(batches):
         scanner = _scanner(listed)
@@ -159,7 +231,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 found = scanner.scan(text)
-                names = sorted({n for _, _, n, _ in found})
+                called = resolve({n for _, _, n, _ in found})
+                found = [(a, b, called[n], x) for a, b, n, x in found]
+                names = sorted(set(called.values()))
                 out.append((doc, len(names), ",".join(names), ",".join(f"{n}:{a}:{b}" for a, b, n, _ in found), max((x[3] for x in found), default=0.0)))
             yield pd.DataFrame(out, columns=["doc_id", "n_licenses", "licenses", "spans", "containment"]).astype({"doc_id": "Int64"})
 

@@ -5,6 +5,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter
+from importlib.resources import files
 
 import numpy as np
 import pytest
@@ -110,6 +111,20 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_whole_licenses(spark):
+    at = files("papyrine.llm").joinpath("license_texts")
+    whole = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in at.iterdir()}
+    rows = list(whole.items())
+    rows += [(i + "/end", "\n\n".join(t.split("\n\n")[t.count("\n\n") // 2 + 1 :])) for i, t in whole.items()]
+    rows += [("GPL-2.0-notice", "x released under the GNU General Public License, version 2 y"), ("CC-BY-4.0-notice", "a b Licensed under CC BY 4.0, c")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses.split(",") for r in licenses.scan_licenses(docs).collect()}
+    for k, (name, _) in enumerate(rows):
+        assert name.removesuffix("/end") in got[k] or name == "BSD-3-Clause/end" and "BSD-2-Clause" in got[k], (name, got[k])
+    two, three = (got[k] for k, (name, _) in enumerate(rows) if name in ("BSD-2-Clause", "BSD-3-Clause"))
+    assert sorted([two, three]) == [["BSD-2-Clause"], ["BSD-3-Clause"]]
+
+
 @pytest.mark.parametrize("width", [72, 78])
 @pytest.mark.parametrize("mark", [" * ", "# ", "// ", ";; "])
 def test_commented_licenses(width, mark):
