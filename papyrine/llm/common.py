@@ -49,11 +49,33 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def _path(self, name: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, name: str = "") -> None:
         """Deletes one table, or all."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, store = self._path(name)
+        store.delete(at, True)
+
+    def last(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Writes ``df``, deletes all other tables of the folder and returns the reread one."""
+        out = self.table(df, name)
+        at, store = self._path("")
+        for found in store.listStatus(at):
+            if found.getPath().getName() != name:
+                store.delete(found.getPath(), True)
+        return out
+
+
+def slices(batch, column: str = "text", size: int = 1 << 20):
+    """Runs of rows of a pandas batch whose ``column`` holds about ``size`` characters; a longer row is a run of its own."""
+    ends = batch[column].str.len().cumsum().to_numpy()
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(ends.searchsorted((ends[a - 1] if a else 0) + size, "right")))
+        yield batch.iloc[a:b]
+        a = b
 
 
 def rows_of(df: DataFrame) -> int:

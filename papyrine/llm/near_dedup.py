@@ -5,10 +5,11 @@ list. Lists are ordered from rare to common; two documents that collide MATCHES
 COORDINATES - MATCHES + 1 entries of their signatures (prefix), so only those are posted and the common lists at the end
 are skipped. Pairs of a list are counted on whole signatures, those with enough collisions confirmed on whole sets.
 
-No list is expanded into all of its pairs as long as its documents hang together: first, each list is compared with its
-most central document; what that links is one component and needs no further pairs. Then, in two turns, documents are
-compared with up to PIVOTS members of their lists that lie in other components, spread by a hash. At last the pairs of a
-list that still lie in different components are compared, without any cap.
+No list is expanded into all of its pairs: each is first compared with its most central document, and what that links is
+one component and needs no further pairs. Documents of lists that still have several components are posted once more,
+under the rarest quarter of their whole shingle sets; there a document takes part only where the number of its shingles
+that others have allows a link at all, and after a second turn with centres, pairs of different components whose sizes
+and places in both prefixes allow a link are compared, without any cap. Both prefixes are exact, so no pair is lost.
 Documents with equal shingle sets are one class from the start, and only its smallest id takes part.
 """
 
@@ -19,15 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import Scratch
+from papyrine.llm.common import Scratch, slices
 from papyrine.llm.components import components
 from papyrine.llm.shingles import mix, shingle_sets
 
 #: Coordinates of a signature and collisions of a candidate. Documents at similarity 0.75 collide less often than
 #: MATCHES with a chance of about one in 10**8.
 COORDINATES, MATCHES = 64, 28
-#: Members of a list that the others are compared with in one turn.
-PIVOTS = 16
+#: A class with more than one in HOT of all rows is joined by broadcast: there are fewer than HOT such classes.
+HOT = 1000
 #: A link is at least this many hundredths of shared shingles.
 PERCENT = 75
 
@@ -45,8 +46,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _sign(batches):
     for batch in batches:
-        for a in range(0, len(batch), 1000):
-            part = batch[a : a + 1000]
+        for part in slices(batch):
             sets = shingle_sets(part["text"].to_list())
             key = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             key2 = [int((mix(s * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)).astype(np.int64)) for s in sets]
@@ -55,79 +55,125 @@ def _sign(batches):
 
 def _sets(batches):
     for batch in batches:
-        for a in range(0, len(batch), 1000):
-            part = batch[a : a + 1000]
+        for part in slices(batch):
             yield pd.DataFrame({"doc_id": part["doc_id"].array, "shingles": [s.view(np.int64) for s in shingle_sets(part["text"].to_list())]})
 
 
+def _unequal(lists: DataFrame, token: str) -> DataFrame:
+    """The lists whose documents aren't one component yet, with their smallest document's size."""
+    found = lists.groupBy(token).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_shingles").alias("least"))
+    return found.filter("lo < hi").select(token, "least")
+
+
+def _set_lists(sets: DataFrame) -> DataFrame:
+    """Postings (shingle, doc_id, label, n_shingles, central, left) of the prefixes of whole sets, rare shingles first.
+
+    Two sets with a link share one of the first n - ceil(0.75 n) + 1 of their shingles. ``left`` is how many shingles
+    from this one on any other document has: the most that a pair first met here can have in common. Shingles of a
+    single document come first in the order and need no posting, and a document with more than a quarter of such is out.
+    """
+    rows = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = rows.join(shared, "shingle").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("all"), F.sum("df").alias("central"))
+    own = own.join(sets.select("doc_id", "label", F.size("shingles").alias("n_shingles")), "doc_id")
+    # Entries of the prefix that are shared: its length less the shingles of this document alone.
+    entries = F.size("all") - F.expr(f"(n_shingles * {PERCENT} + 99) div 100") + 1
+    own = own.withColumn("entries", entries.cast("int")).filter("entries > 0")
+    posted = own.select("doc_id", "label", "n_shingles", "central", F.size("all").alias("shared"), F.posexplode(F.slice("all", F.lit(1), F.col("entries"))).alias("at", "e"))
+    return posted.select(F.col("e.shingle").alias("shingle"), "doc_id", "label", "n_shingles", "central", (F.col("shared") - F.col("at")).alias("left"))
+
+
 def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Null, empty and blank texts have the empty set and are linked with nothing. Rows that repeat an id count as one
-    document, and should have one text; null ids have component null and stay. An empty table gives no rows.
+    Null, empty and blank texts have the empty set and are linked with nothing. Rows that repeat an id are one document
+    and share a component; where their texts differ, links are those of the text with the smallest hash, and n_shingles
+    is each row's own. Null ids have component null and stay. Equal texts tie into one class, whose smallest id stays.
+    An empty table gives no rows, other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = scratch.table(rows.mapInPandas(_sign, "doc_id long, n_shingles long, key long, key2 long, sig array<long>"), "signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("key", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = scratch.table(full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig"), "representatives")
+    classes = scratch.table(full.groupBy("key", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    chosen = classes.groupBy("rep").agg(F.min(F.struct("key", "key2")).alias("k")).select(F.col("rep").alias("doc_id"), "k.key", "k.key2")
+    reps = scratch.table(full.join(chosen, ["doc_id", "key", "key2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig"), "representatives")
 
     # Posting lists, the rarest first; values of a single document have none.
-    entries = reps.select("doc_id", F.explode("sig").alias("token"))
+    entries = reps.select("doc_id", "n_shingles", F.explode("sig").alias("token"))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    listed = entries.join(shared, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"), F.sum("df").alias("central"))
+    listed = entries.join(shared, "token").groupBy("doc_id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"), F.sum("df").alias("central"))
     listed = listed.filter(F.size("all") >= MATCHES)
     prefix = F.slice("all", 1, F.size("all") - (MATCHES - 1))
-    posted = scratch.table(listed.select("doc_id", "central", F.explode(prefix).alias("e")).select("doc_id", "central", F.col("e.token").alias("token")), "postings")
+    posted = listed.select("doc_id", "n_shingles", "central", F.explode(prefix).alias("e")).select("doc_id", "n_shingles", "central", F.col("e.token").alias("token"))
+    posted = scratch.table(posted, "postings")
 
-    # Whole sets of the documents that any list brings together.
-    wanted = posted.select("doc_id").distinct()
-    sets = scratch.table(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_sets, "doc_id long, shingles array<long>"), "sets")
+    # Signatures and whole sets of the documents that any list brings together.
+    wanted = scratch.table(posted.select("doc_id").distinct(), "wanted")
+    sets = rows.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, shingles array<long>")
+    # The set of a repeated id is the one that its signature is of, by size and then by order.
+    sets = reps.select("doc_id", "sig", "n_shingles").join(sets, "doc_id").filter(F.size("shingles") == F.col("n_shingles"))
+    sets = scratch.table(sets.dropDuplicates(["doc_id"]).select("doc_id", "sig", "shingles"), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b), those with enough collisions and then enough common shingles."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        s = reps.select("doc_id", "sig")
+        s = sets.select("doc_id", "sig")
         close = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
         close = scratch.table(close.filter(F.size(F.array_intersect("sa", "sb")) >= MATCHES).select("a", "b"), f"{name}-close")
-        both = close.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
+        t = sets.select("doc_id", "shingles")
+        both = close.join(t.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
         common = F.size(F.array_intersect("xa", "xb"))
         linked = both.filter(100 * common >= PERCENT * (F.size("xa") + F.size("xb") - common))
         return scratch.table(linked.select("a", "b"), f"{name}-links")
 
-    def labelled(links: DataFrame, name: str) -> DataFrame:
+    def labelled(lists: DataFrame, links: DataFrame, name: str) -> DataFrame:
         found = components(links, scratch, name)
-        return posted.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+        return lists.drop("label").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
 
-    def centres(lists: DataFrame) -> DataFrame:
+    def centred(lists: DataFrame, token: str) -> DataFrame:
+        """Pairs of each list's most central document with those of other components."""
         best = F.max(F.struct("central", (-F.col("doc_id")).alias("minus"), "label")).alias("c")
-        return lists.groupBy("token").agg(best).select("token", (-F.col("c.minus")).alias("a"), F.col("c.label").alias("la"))
-
-    def spread(lists: DataFrame, turn: int) -> DataFrame:
-        """Up to PIVOTS documents of each list, others in each turn."""
-        h = F.xxhash64("doc_id", F.lit(turn))
-        best = lists.groupBy("token", F.pmod(h, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(h.alias("h"), "doc_id", "label")).alias("c"))
-        return best.select("token", F.col("c.doc_id").alias("a"), F.col("c.label").alias("la"))
-
-    lists, links = posted.withColumn("label", F.col("doc_id")), None
-    for turn, name in enumerate(("centre", "spread1", "spread2")):
-        pivots = spread(lists, turn) if turn else centres(lists)
-        new = confirmed(lists.join(pivots, "token").filter("label <> la").select("a", F.col("doc_id").alias("b")), name)
-        links = scratch.table(links.unionAll(new), f"{name}-all") if turn else new
-        lists = scratch.table(labelled(links, name), f"{name}-labels")
-    # Lists that still have several components are compared across these.
-    open_ = lists.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    rest = scratch.table(lists.join(open_, "token", "left_semi").select("token", "doc_id", "label"), "open")
-    other = rest.select("token", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    cross = rest.withColumnRenamed("doc_id", "a").join(other, "token").filter("a < b and label <> lb").select("a", "b")
-    links = links.unionAll(confirmed(cross, "cross"))
+        centre = lists.groupBy(token).agg(best).select(token, (-F.col("c.minus")).alias("a"), F.col("c.label").alias("la"))
+        return lists.join(centre, token).filter("label <> la").select("a", F.col("doc_id").alias("b"))
+
+    # Each list is compared with its centre; what that links needs no further pairs.
+    links = confirmed(centred(posted.withColumn("label", F.col("doc_id")), "token"), "centre")
+    lists = scratch.table(labelled(posted, links, "centre"), "labels")
+
+    # Documents of lists that still have several components meet again under the rare shingles of their whole sets.
+    open_ = lists.join(_unequal(lists, "token"), "token", "left_semi").select("doc_id", "label").distinct()
+    rest = scratch.table(_set_lists(sets.select("doc_id", "shingles").join(open_, "doc_id")), "open")
+
+    def met(rest: DataFrame) -> DataFrame:
+        """Postings that can meet a document of another component and have enough in common with it."""
+        fits = f"left * {100 + PERCENT} >= {PERCENT} * (n_shingles + greatest(least, (n_shingles * {PERCENT} + 99) div 100))"
+        rest = rest.join(_unequal(rest, "shingle"), "shingle").filter(fits).drop("least")
+        return rest.join(_unequal(rest, "shingle").drop("least"), "shingle", "left_semi")
+
+    rest = scratch.table(met(rest), "open-fit")
+    more = confirmed(centred(rest, "shingle"), "open-centre")
+    links = scratch.table(links.unionAll(more), "links")
+    rest = scratch.table(met(labelled(rest, links, "open-centre")), "last")
+    # What is left is compared across components, by pairs that size and place in both sets allow.
+    one = rest.select("shingle", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("left").alias("xa"))
+    two = rest.select("shingle", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("left").alias("xb"))
+    fits = f"a < b and la <> lb and least(xa, xb) * {100 + PERCENT} >= {PERCENT} * (na + nb) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
+    links = links.unionAll(confirmed(one.join(two, "shingle").filter(fits).select("a", "b"), "cross"))
     found = components(links, scratch, "all").select(F.col("node").alias("rep"), "component")
 
-    ids = signed.select("doc_id", "n_shingles", "key", "key2")
-    named = classes.join(found, "rep", "left").select(F.col("key").alias("k"), F.col("key2").alias("k2"), F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
-    out = ids.join(named, (F.col("key") == F.col("k")) & (F.col("key2") == F.col("k2")) & (F.col("n_shingles") == F.col("n")), "left")
+    # A class of very many copies goes to all tasks, as fewer than HOT classes can have that share of the rows.
+    named = classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    keys = ["key", "key2", "n_shingles"]
+    least = max(1, signed.count() // HOT)
+    hot = named.filter(F.col("copies") > least).select(*keys, F.col("component").alias("c1"))
+    cold = named.filter((F.col("copies") > 1) & (F.col("copies") <= least)).select(*keys, F.col("component").alias("c2"))
+    single = found.select(F.col("rep").alias("doc_id"), F.col("component").alias("c3"))
+    ids = signed.select("doc_id", *keys).join(F.broadcast(hot), keys, "left")
+    done, todo = ids.filter("c1 is not null"), ids.filter("c1 is null").drop("c1")
+    todo = todo.join(cold, keys, "left").join(single, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c2", "c3").alias("component"))
+    out = done.select("doc_id", "n_shingles", F.col("c1").alias("component")).unionAll(todo)
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return scratch.last(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:

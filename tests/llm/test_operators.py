@@ -168,6 +168,74 @@ def test_near(spark, docs, empty):
     assert near_groups(empty, Scratch(spark, "t")).count() == 0
 
 
+def test_components(spark):
+    from papyrine.llm import components as C
+
+    r = random.Random(9)
+    chain = [(i, i + 1) for i in range(500)]
+    star = [(2000, 2000 + i) for i in range(1, 300)]
+    mixed = [(r.randrange(5000, 5400), r.randrange(5000, 5400)) for _ in range(250)]
+    edges = chain + star + mixed + mixed
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    for small in (C.SMALL, 0):
+        scratch = Scratch(spark, "t")
+        made = []
+        table = scratch.table
+        scratch.table = lambda d, name: made.append(name) or table(d, name)  # noqa: B023
+        assert {x.node: x.component for x in C.components(df, scratch, "c", small).collect()} == want
+        # Contractions, and doublings in each of them.
+        assert sum("edges" in n for n in made) <= 4 and sum("jump" in n for n in made) <= 12
+        scratch.drop()
+    assert C.components(df.limit(0), Scratch(spark, "t"), "c").count() == 0
+
+
+def test_near_chain_and_crowd(spark):
+    """A chain of versions, each near the next only, and a crowd whose members hardly link, against brute force."""
+    r = random.Random(4)
+    base = [f"v{i}" for i in range(130)]
+    rows, t = [], list(base)
+    for i in range(60):
+        t = list(t)
+        for k in range(2):
+            t[(7 * i + 3 * k) % 130] = f"c{i}x{k}"
+        rows.append(" ".join(t))
+    for i in range(80):
+        t = [f"w{k}" for k in range(120)]
+        for k in r.sample(range(120), r.randrange(2, 9)):
+            t[k] = f"e{i}y{k}"
+        rows.append(" ".join(t))
+    rows = list(enumerate(rows))
+    r.shuffle(rows)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and 100 * n >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: find(i) for i in sets}
+    assert 3 < len(set(map(find, sets))) < 100
+
+
 def test_leaks(spark, docs, empty):
     t = texts()
     items = [(1, " ".join(t[3].split()[2:16])), (2, "two"), (3, None), (10, "zz yy xx"), (11, t[4].upper()), (12, "one two")]
