@@ -87,6 +87,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, least: int, size: int = 64 << 20, most: int = 200_000) -> int:
+    """Partitions that hold about ``size`` bytes of ``df`` each, by the optimizer's estimate; ``least`` where it has none
+    or the table is small."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if found >= 1 << 60 else max(least, min(most, found // size))
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the decimal text of an id; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

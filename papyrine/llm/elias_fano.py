@@ -1,126 +1,81 @@
-"""Elias-Fano coded sorted numbers in flat arrays that can be memory-mapped."""
+"""Elias-Fano coded rising numbers in flat arrays that can be memory-mapped."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Buckets of the upper bits between two entries of the directory.
-EVERY = 8
-
 
 class EliasFano:
-    """A strictly increasing sequence of 64-bit numbers.
+    """A non-decreasing sequence of 64-bit numbers.
 
-    The lower ``low`` bits of each number are packed one after the other; the upper parts are a bit vector with, for
-    each bucket (value of the upper part), a one for each number and then a zero. The directory has, for every EVERY-th
-    bucket, how many numbers come before it.
+    The lower ``low`` bits of each number are packed one after the other in 64-bit words; the upper parts are a bit
+    vector in which the i-th number sets bit (upper part + i).
     """
 
-    FIELDS = ("lows", "highs", "directory")
+    FIELDS = ("lows", "highs")
 
-    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, directory: np.ndarray):
-        self.n, self.low, self.lows, self.highs, self.directory = n, low, lows, highs, directory
+    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray):
+        self.n, self.low, self.lows, self.highs = n, low, lows, highs
+        self._upper: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
-        """Codes sorted distinct ``values`` below ``universe``."""
+        """Codes sorted ``values`` below ``universe``."""
         n = len(values)
+        values = values.astype(np.uint64)
         low = max(0, min(56, (max(1, universe // max(1, n))).bit_length() - 1))
         upper = (values >> np.uint64(low)).astype(np.int64)
-        buckets = ((universe - 1) >> low) + 1
-        bits = np.zeros(buckets + n, np.uint8)
-        bits[upper + np.arange(n)] = 1
-        lows = np.zeros((n * low + 7) // 8 + 16, np.uint8)
+        bits = np.zeros((int(upper[-1]) if n else 0) + n + 1, bool)
+        bits[upper + np.arange(n)] = True
+        lows = np.zeros((n * low >> 6) + 2, np.uint64)
         if low and n:
-            part = (values & np.uint64((1 << low) - 1)).astype("<u8").view(np.uint8).reshape(n, 8)
-            packed = np.packbits(np.unpackbits(part, axis=1, bitorder="little")[:, :low].ravel(), bitorder="little")
-            lows[: len(packed)] = packed
-        directory = np.searchsorted(upper, np.arange(0, buckets + EVERY, EVERY)).astype("<u4")
-        return cls(n, low, lows, np.concatenate([np.packbits(bits, bitorder="little"), np.zeros(24, np.uint8)]), directory)
+            part = values & np.uint64((1 << low) - 1)
+            at = np.arange(n, dtype=np.int64) * low
+            word, shift = at >> 6, (at & 63).astype(np.uint64)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            lows[word[first]] = np.bitwise_or.reduceat(part << shift, first)
+            over = np.flatnonzero(shift > np.uint64(64 - low))
+            lows[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
+        return cls(n, low, lows, np.packbits(bits, bitorder="little"))
+
+    def _uppers(self) -> np.ndarray:
+        if self._upper is None:
+            ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
+            self._upper = (ones - np.arange(self.n)).astype(np.uint64)
+        return self._upper
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        """The lower bits of the numbers at ``i``."""
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at places ``i``."""
+        out = self._uppers()[i]
+        if not self.low:
+            return out
         at = i * self.low
-        byte = at >> 3
-        word = np.zeros(len(i), np.uint64)
-        for k in range(8):
-            word |= self.lows[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        shift = (at & 7).astype(np.uint64)
-        word >>= shift
-        # Up to 63 bits may straddle nine bytes.
-        word |= np.where(shift > 0, self.lows[byte + 8].astype(np.uint64) << ((np.uint64(64) - shift) % np.uint64(64)), np.uint64(0))
-        return word & np.uint64((1 << self.low) - 1)
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        part = self.lows[word] >> shift
+        # A shift by 64 isn't defined, so the next word's bits move in two steps.
+        part |= (self.lows[word + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+        return (out << np.uint64(self.low)) | (part & np.uint64((1 << self.low) - 1))
+
+    def decode(self) -> np.ndarray:
+        """All numbers."""
+        return self.get(np.arange(self.n, dtype=np.int64))
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each number of ``x`` in the sequence, -1 where it isn't."""
-        out = np.full(len(x), -1, np.int64)
-        if not self.n or not len(x):
-            return out
-        for a in range(0, len(x), 1 << 17):
-            out[a : a + (1 << 17)] = self._find(x[a : a + (1 << 17)])
-        return out
+        """The place of each number of ``x`` in a sequence of different numbers, -1 where it isn't."""
+        return self.search(x.astype(np.uint64), np.zeros(len(x), np.int64), np.full(len(x), self.n, np.int64))
 
-    def _find(self, x: np.ndarray) -> np.ndarray:
-        upper = (x >> np.uint64(self.low)).astype(np.int64)
-        inside = upper < (len(self.directory) - 1) * EVERY
-        upper = np.where(inside, upper, 0)
-        k = upper % EVERY
-        before = self.directory[upper // EVERY].astype(np.int64)
-        pos = upper - k + before
-        byte = np.minimum(pos >> 3, len(self.highs) - 8)
-        word = np.zeros(len(x), np.uint64)
-        for j in range(8):
-            word |= self.highs[byte + j].astype(np.uint64) << np.uint64(8 * j)
-        shift = (pos & 7).astype(np.uint64)
-        # Zeros of the bits from the bucket row on; those shifted in at the top don't count.
-        zeros = ~(word >> shift) & (np.uint64(0xFFFFFFFFFFFFFFFF) >> shift)
-        first = np.zeros(len(x), np.int64)
-        for j in range(EVERY):
-            on = k > j
-            lowest = zeros & (~zeros + np.uint64(1))
-            first = np.where(on, np.bitwise_count(lowest - np.uint64(1)).astype(np.int64) + 1, first)
-            zeros = np.where(on, zeros & (zeros - np.uint64(1)), zeros)
-        whole = zeros != 0
-        last = np.bitwise_count((zeros & (~zeros + np.uint64(1))) - np.uint64(1)).astype(np.int64)
-        start = before + first - k
-        size = np.where(whole & inside, last - first, 0)
-        torn = np.flatnonzero(inside & ~whole)
-        if len(torn):  # a crowded row of buckets runs over the word
-            crowded, back = np.unique(upper[torn], return_inverse=True)
-            ends = np.array([self._bucket(u) for u in crowded.tolist()], np.int64)
-            start[torn], size[torn] = ends[back, 0], ends[back, 1] - ends[back, 0]
-        want = x & np.uint64((1 << self.low) - 1)
+    def search(self, x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each number of ``x`` among those from ``first`` to before ``end``, -1 where it isn't there."""
         out = np.full(len(x), -1, np.int64)
-        # The lower bits of a bucket's numbers increase, so the places left are halved.
-        on = np.flatnonzero(size > 0)
-        a, b = start[on], start[on] + size[on]
+        on = np.flatnonzero(first < end)
+        a, b, want = first[on], end[on], x[on]
         while len(on):
             i = (a + b) >> 1
-            got = self._low(i)
-            hit = got == want[on]
+            got = self.get(i)
+            hit = got == want
             out[on[hit]] = i[hit]
-            less = got < want[on]
+            less = got < want
             a, b = np.where(less, i + 1, a), np.where(less, b, i)
             left = ~hit & (a < b)
-            on, a, b = on[left], a[left], b[left]
+            on, a, b, want = on[left], a[left], b[left], want[left]
         return out
-
-    def _bucket(self, upper: int) -> tuple[int, int]:
-        """The places of the numbers in a bucket, by reading on from the directory."""
-        k = upper % EVERY
-        before = int(self.directory[upper // EVERY])
-        pos, size = upper - k + before, 512
-        while True:
-            window = np.unpackbits(self.highs[pos >> 3 : (pos >> 3) + size], bitorder="little")[pos & 7 :]
-            zeros = np.flatnonzero(window == 0)
-            if len(zeros) > k or (pos >> 3) + size >= len(self.highs):
-                first = int(zeros[k - 1]) + 1 if k else 0
-                return before + first - k, before + int(zeros[k]) - k
-            size *= 4
-
-    def decode(self) -> np.ndarray:
-        """All numbers."""
-        bits = np.unpackbits(self.highs, bitorder="little")
-        ones = np.flatnonzero(bits)[: self.n]
-        upper = (ones - np.arange(self.n)).astype(np.uint64)
-        return (upper << np.uint64(self.low)) | self._low(np.arange(self.n))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import Scratch, shuffle_partitions
+from papyrine.llm.common import Scratch, partitions_for, shuffle_partitions
 from papyrine.llm.tokens import encoder
 
 #: Hashed buckets of a document vector, dimensions that it is projected to, bits of a Hilbert coordinate.
@@ -156,6 +156,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, r
     scratch = Scratch(spark, "packing")
     coded = scratch.table(rows.mapInPandas(_encode(tokenizer, end_id), "doc_id long, key long, width int, ids binary"), "ids")
     # Ties of the key, even a third of all rows, are split by the id.
-    order = coded.repartitionByRange(ranges or 2 * shuffle_partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    order = coded.repartitionByRange(ranges or partitions_for(docs, 2 * shuffle_partitions(spark)), "key", "doc_id").sortWithinPartitions("key", "doc_id")
     out = order.select("doc_id", "width", "ids").mapInPandas(_pack(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, seq long, offset long")
     return out.withColumnRenamed("seq", "sequence_id").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

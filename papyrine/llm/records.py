@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import shuffle_partitions
+from papyrine.llm.common import partitions_for, shuffle_partitions
 from papyrine.llm.tokens import encoder
 
 #: Reversed Castagnoli polynomial, the constant of masked checksums, and bytes that one step of the sums covers.
@@ -153,7 +153,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards or 4 * shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange(shards or partitions_for(docs, 4 * shuffle_partitions(spark)), "doc_id").sortWithinPartitions("doc_id")
     wrote = rows.mapInPandas(_writer(path, tokenizer, end_id), "shard long, docs long, tokens long")
     # As in any commit protocol, the driver gets one small row from each shard that was written.
     found, start, out = sorted(wrote.collect()), 0, []
@@ -192,7 +192,7 @@ def _reader(path: str):
 def read_records(manifest: DataFrame, path: str) -> DataFrame:
     """Reads shards back, checks every sum, and returns doc_id, start, n_tokens, ids_crc32 of each record."""
     spark = manifest.sparkSession
-    parts = manifest.filter("docs > 0").select("shard", "start").repartition(4 * shuffle_partitions(spark), "shard")
+    parts = manifest.filter("docs > 0").select("shard", "start").repartition(max(4 * shuffle_partitions(spark), manifest.count()), "shard")
     return parts.mapInPandas(_reader(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

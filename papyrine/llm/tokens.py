@@ -1,7 +1,9 @@
 """Exact, cached encoding with public tokenizer files.
 
 Text is cut where the tokenizer cuts it in any case. Pieces repeat, so each worker lets the tokenizers library encode a
-piece once and keeps its ids. The cache is emptied when it is full, so memory stays bounded.
+piece once and keeps its ids. New pieces that are a single word are encoded many at a time as one text, as the tokens of
+that text show where a word begins or ends; the number of words found must be that of the pieces, or each is encoded by
+itself. The cache is emptied when it is full, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ import numpy as np
 
 #: Pieces kept by a worker; a longer piece than KEEP_CHARS isn't kept.
 KEEP, KEEP_CHARS = 700_000, 64
+#: Words that are encoded as one text.
+TOGETHER = 256
 
-#: White space other than a blank or line feed, and our own mark; a comma or full stop, before white space, that doesn't
-#: follow a letter or digit. In texts without these, and without blanks in a row, every single blank or line feed is a
+#: White space other than a blank or line feed, our own mark, and the one letter whose small form ends in a sign that is
+#: no letter; a comma or full stop, before white space, that doesn't follow a letter or digit. In texts without these, and without blanks in a row, every single blank or line feed is a
 #: sure cut, and so is the comma or full stop before one.
-_ODD = re.compile(r"[\x01\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD = re.compile(r"[\x01\u0130\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _MARKS = re.compile(r"(?<![^\W_])[.,][ \n]")
 _SURE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
@@ -44,6 +48,9 @@ def _pieces_word(text: str) -> list[str]:
 
 
 CUTS = {"byte_bpe_50k.json": _pieces_byte, "word_bpe_49k.json": _pieces_word}
+#: How a word's tokens are told apart in these files: the first begins with the mark of a blank, or the last has the
+#: mark of a word's end; and what stands between words in a text of many.
+FIRST, LAST = "\u0120", "</w>"
 
 
 class Encoder:
@@ -61,20 +68,47 @@ class Encoder:
         self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.cut = CUTS.get(os.path.basename(path), lambda text: [text])
         self.known: dict[str, bytes] = {}
+        marks = {_pieces_byte: lambda t: t.startswith(FIRST), _pieces_word: lambda t: t.endswith(LAST)}.get(self.cut)
+        self.edge = None
+        if marks:
+            self.edge = np.zeros(self.model.get_vocab_size(), bool)
+            self.edge[[i for t, i in self.model.get_vocab().items() if marks(t)]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]):
+        """Each of some new pieces with its ids."""
+        byte = self.cut is _pieces_byte
+        words, rest = [], []
+        for p in pieces:
+            one = self.edge is not None and (p[:1] == " " and p[1:].isalpha() if byte else p.isalpha())
+            (words if one else rest).append(p)
+        groups = [words[a : a + TOGETHER] for a in range(0, len(words), TOGETHER)]
+        for a in range(0, len(groups), 16):
+            part = groups[a : a + 16]
+            for group, ids in zip(part, self._ids([("" if byte else " ").join(g) for g in part]), strict=True):
+                at = np.flatnonzero(self.edge[ids])
+                bounds = np.append(at, len(ids)) if byte else np.append(0, at + 1)
+                if len(at) != len(group) or bounds[0] != 0 or bounds[-1] != len(ids):
+                    rest += group
+                    continue
+                blob, cuts = ids.tobytes(), (bounds * ids.itemsize).tolist()
+                yield from zip(group, [blob[x:y] for x, y in zip(cuts, cuts[1:])], strict=True)
+        for a in range(0, len(rest), 4096):
+            part = rest[a : a + 4096]
+            yield from zip(part, [x.tobytes() for x in self._ids(part)], strict=True)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 16- or 32-bit ids for each text."""
         lists = [self.cut(t) for t in texts]
         new = list(set().union(*lists).difference(self.known))
-        known = self.known
-        if len(known) + len(new) > KEEP:
-            known = self.known = {}
+        if len(self.known) + len(new) > KEEP:
+            self.known = {}
             new = list(set().union(*lists))
-        own: dict[str, bytes] = {}
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for piece, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(piece) <= KEEP_CHARS else own)[piece] = np.array(e.ids, self.type).tobytes()
+        known, own = self.known, {}
+        for piece, ids in self._learn(new):
+            (known if len(piece) <= KEEP_CHARS else own)[piece] = ids
         if own:
             return [np.frombuffer(b"".join([own[p] if p in own else known[p] for p in x]), self.type) for x in lists]
         return [np.frombuffer(b"".join(map(known.__getitem__, x)), self.type) for x in lists]

@@ -102,6 +102,17 @@ def test_cached_encoding_is_exact(name):
     assert [x.tolist() for x in e.encode(odd)] == [x.ids for x in e.model.encode_batch(odd, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cached_encoding_of_random_texts(name):
+    r, e = random.Random(17), Encoder(tokenizer_file(name))
+    letters = "abcXYZ019.,.,'- \n  éßÅΣσς\u0130\u0131ǅÀ\u0300\u0307中文'sªº²½Ⅷ_*#\u200b\u00ad\u3000\ufb01İ. İ, a. b, \x01\t<|endoftext|></w>Ġ"
+    odd = ["".join(r.choices(letters, k=r.randrange(0, 40))) for _ in range(8000)]
+    odd += [" ".join("".join(r.choices("abcdeé\u0130ﬁΣ", k=r.randrange(1, 9))) + r.choice(["", ",", ".", "\n"]) for _ in range(30)) for _ in range(400)]
+    for a in range(0, len(odd), 700):
+        part = odd[a : a + 700]
+        assert [x.tolist() for x in e.encode(part)] == [x.ids for x in e.model.encode_batch(part, add_special_tokens=False)]
+
+
 def test_licenses(docs, empty):
     r = {x.doc_id: x for x in licenses.scan_licenses(docs).collect()}
     assert [i for i, x in r.items() if x.n_licenses] == [max(r)] and r[max(r)].licenses == "MIT" and r[max(r)].containment == 1.0
@@ -320,38 +331,80 @@ def test_language_model(spark, docs, empty, tmp_path):
         base = sum(math.log10((count.get(x, 0) + 1) / (n + len(count) + 1)) for x in w)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in count for x in w), n)
         assert r.base_score == pytest.approx(base) and r.score < 0
-    # Probabilities of all known words and an unknown one after a word sum to at most one, and nearly.
-    after = [f"{train[0][0]} {x}" for x in [*count, "unseen"] if x != "\0end"]
-    one = [model.score([t])[3][0] - model.score([t.split()[1]])[3][0] for t in after[:3]]
-    assert all(np.isfinite(one))
     assert lm.score(empty, lm.train(empty, str(tmp_path / "e"))).count() == 0
+    alone = lm.score(docs.filter("doc_id = 3"), lm.train(empty, str(tmp_path / "f"))).collect()
+    assert alone[0].n_known == 0 and alone[0].score == pytest.approx(0)
 
 
-def test_pairs_seen_once(spark, docs, tmp_path):
-    model = lm.train(docs.filter(~lm.held_out(docs.doc_id)), str(tmp_path / "m"))
-    words = {i: ["\0begin", *re.findall(r"[^\x20\x09-\x0D]+", low(t)), "\0end"] for i, t in texts().items()}
-    train = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    one, two, taken = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(w, w[1:])), Counter()
+def brute_trigrams(train):
+    """Probability of a word after two others, from plain counts."""
+    one, two, three = Counter(), Counter(), Counter()
+    for w in train:
+        s = ["\0begin", "\0begin", *w]
+        one.update(w)
+        one["\0begin"] += 1
+        two.update(zip(s[1:], s[2:]))
+        three.update(zip(s, s[1:], s[2:]))
+    whole = Counter()
+    for g, k in three.items():
+        whole[g[:2]] += k
     n, known = sum(one.values()) - one["\0begin"], len(one) - 1
-    left = {p: 0.25 if k == 1 else 2 ** (math.floor(8 * math.log2(k - 0.75) + 1e-9) / 8) for p, k in two.items()}
-    for (h, _), k in left.items():
-        taken[h] += k
-    weight = {h: max(1, math.floor(255 * min(1, max(0, (c - taken[h]) / c)))) / 255 for h, c in one.items()}
+    p2 = {g: 0.25 if k == 1 else 2 ** (math.floor(8 * math.log2(k - 0.75) + 1e-9) / 8) for g, k in two.items()}
+    p3 = {g: 2 ** (-math.ceil(-8 * math.log2((k - 0.75) / whole[g[:2]]) - 1e-9) / 8) for g, k in three.items()}
+    took2, took3 = Counter(), Counter()
+    for g, k in p2.items():
+        took2[g[0]] += k
+    for g, k in p3.items():
+        took3[g[:2]] += k
+
+    def p(u, v, w):
+        w2 = 1 if v not in one else max(1, math.floor(65535 * (one[v] - took2[v]) / one[v])) / 65535
+        w3 = 1 if (u, v) not in whole else max(1, math.floor(65535 * (1 - took3[u, v]))) / 65535
+        return p3.get((u, v, w), 0) + w3 * (p2.get((v, w), 0) / max(1, one[v]) + w2 * (one[w] + 1) / (n + known + 1))
 
-    def p(h, w):
-        return left.get((h, w), 0) / max(one[h], 1) + weight.get(h, 1) * (one[w] + 1) / (n + known + 1)
+    return one, three, p
 
-    assert sum(k == 1 for k in two.values()) > 100
+
+def test_language_model_by_hand(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "FLUSH", 500)  # several chunks a task
+    model = lm.train(docs.filter(~lm.held_out(docs.doc_id)), str(tmp_path / "m"))
+    words = {i: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), "\0end"] for i, t in texts().items()}
+    train = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, three, p = brute_trigrams(train)
+    assert sum(k == 1 for k in three.values()) > 100
     for r in lm.score(docs, model).collect():
-        w = words[r.doc_id]
-        assert r.score == pytest.approx(sum(math.log10(p(*x)) for x in zip(w, w[1:])), rel=2e-3)
+        s = ["\0begin", "\0begin", *words[r.doc_id]]
+        assert r.score == pytest.approx(sum(math.log10(p(*g)) for g in zip(s, s[1:], s[2:])), rel=1e-6)
+    # After any context, known or not, the known words and an unknown one have all of the probability.
+    known = [w for w in one if w != "\0begin"]
+    for u, v in [("\0begin", "\0begin"), ("\0begin", train[0][0]), tuple(train[0][1:3]), ("never", train[0][1]), ("never", "seen")]:
+        assert sum(p(u, v, w) for w in known) + p(u, v, "unseen") == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_rows(spark, tmp_path):
+    """Null and repeated ids, null, long and blank texts, a word in most pairs, clashing names."""
+    rows = [(None, None, "x", 1), (7, "a b a c", "y", 2), (7, "a b a c", "y", 2), (8, "a " * 40_000, None, 3), (9, " \t\n", "z", 4), (10, "A a\u00a0b", "z", 5)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, blob string, chunk int")
+    model = lm.train(odd, str(tmp_path / "m"))
+    words = [[*re.findall(r"[^\x20\x09-\x0D]+", low(t or "")), "\0end"] for _, t, *_ in rows]
+    one, _, p = brute_trigrams(words)
+    got = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.score, 3)) for r in lm.score(odd, model).collect())
+    want = []
+    for (i, *_), w in zip(rows, words):
+        s = ["\0begin", "\0begin", *w]
+        want.append((i or -1, len(w), len(w), round(sum(math.log10(p(*g)) for g in zip(s, s[1:], s[2:])), 3)))
+    assert got == sorted(want) and model.total == sum(map(len, words))
 
 
 def test_elias_fano_crowded():
     v = np.unique(np.concatenate([np.arange(0, 90_000, 3), np.arange(1 << 38, (1 << 38) + 500, 2), np.arange(1, 400) << 31]).astype(np.uint64))
     e, q = EliasFano.of(v, 1 << 40), np.concatenate([v, v + np.uint64(1)])
     place = {int(a): i for i, a in enumerate(v)}
-    assert e.find(q).tolist() == [place.get(int(a), -1) for a in q]
+    assert e.find(q).tolist() == [place.get(int(a), -1) for a in q] and (e.get(np.arange(len(v))) == v).all()
+    rising = np.array([0, 0, 3, 3, 3, 9, (1 << 63) + 5], np.uint64)
+    assert (EliasFano.of(rising, 1 << 64).decode() == rising).all() and EliasFano.of(rising[:0], 9).find(rising).tolist() == [-1] * 7
+    first, end = np.array([0, 2, 5, 5]), np.array([2, 5, 6, 5])
+    assert (EliasFano.of(rising, 1 << 64).search(np.array([0, 9, 9, 9], np.uint64), first, end) >= 0).tolist() == [True, False, True, False]
 
 
 def test_secrets(docs, empty):
@@ -385,6 +438,46 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels.limit(0))).count() == 0
 
 
+def test_toxicity_by_hand(spark):
+    """Scores of the registered path against a plain computation from the same dictionaries."""
+    import zstandard as Z
+
+    r = random.Random(8)
+    plain = [" ".join(r.choice("the of and river stone walks over green hill some day".split()) for _ in range(r.randrange(1, 90))) for _ in range(200)]
+    bad = [p + " you wretched vilething " + p[:40] for p in plain[:60]]
+    rows = [(i, t, r.randrange(9)) for i, t in enumerate(plain[60:] + bad)] + [(None, None, 1), (5, "again", 1), (900, "x " * 60_000, 1), (901, "", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    marks = [(i, 0, int(i >= 140)) for i in range(200)] + [(None, 1, 1), (3, 0, None), (7777, 1, 1), (900, 0, 0)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model == toxicity.train(docs.repartition(5), labels.repartition(2))
+    known = {i: y for i, _, y in marks if i is not None and y is not None and zlib.crc32(str(i).encode()) % 3 != 1}
+    known |= {5: 0} if 5 in known else {}
+    smallest = {}
+    for i, t, _ in rows:
+        if i in known and len(t or "") <= toxicity.SAMPLE_BYTES:
+            smallest[i] = min(t or "", smallest.get(i, t or ""))
+    assert model == toxicity.fit([(t, known[i]) for i, t in smallest.items()])
+    made = []
+    for content in (b" " + model.toxic + b" " + model.ordinary + b" ", b" " + model.ordinary + b" "):
+        shape = Z.ZstdCompressionParameters.from_level(6, source_size=64, dict_size=len(model.toxic) + len(model.ordinary) + 3, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+        made.append(Z.ZstdCompressor(compression_params=shape, dict_data=Z.ZstdCompressionDict(content, dict_type=Z.DICT_TYPE_RAWCONTENT)))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows)
+    want = []
+    for i, t, _ in rows:
+        w = [x.strip(".,;:!?\"'()[]{}*%&#$_-") for x in low(t or "").split()]
+        w = [x for x in w if x]
+        gain = [len(made[1].compress(x)) - len(made[0].compress(x)) for x in ((" " + " ".join(w[a : a + 8]) + " ").encode() for a in range(0, len(w), 8))]
+        top = sorted([*gain, 0, 0], reverse=True)
+        f = [1, top[0], top[1], *(math.log1p(sum(g > t for g in gain)) for t in model.thresholds), math.log1p(len(gain))]
+        want.append((i if i is not None else -1, round(1 / (1 + math.exp(-sum(a * b for a, b in zip(f, model.weights)))), 9)))
+    assert sorted((x.doc_id if x.doc_id is not None else -1, round(x.score, 9)) for x in got) == sorted(want)
+    assert all(x.predicted == int(x.score >= 0.7) and x.held_out == (zlib.crc32(str(x.doc_id if x.doc_id is not None else "").encode()) % 3 == 1) for x in got)
+    left = toxicity.drop_toxic(spark, docs, labels)
+    assert left.columns == docs.columns and left.count() == sum(x.predicted == 0 for x in got) < len(rows)
+
+
 def test_exact(spark, docs, empty):
     prints = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 300, dtype=np.uint64))
     counts = np.arange(1, len(prints) + 1, dtype=np.uint64) % np.uint64(4) + np.uint64(1)
