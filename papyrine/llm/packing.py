@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import Scratch, partitions_for, shuffle_partitions
+from papyrine.llm.common import Scratch, partitions_for, shuffle_partitions, slices
 from papyrine.llm.tokens import encoder
 
 #: Hashed buckets of a document vector, dimensions that it is projected to, bits of a Hilbert coordinate.
@@ -74,8 +74,7 @@ def _encode(tokenizer: str, end_id: int):
         model = encoder(tokenizer)
         vocab = max(model.model.get_vocab_size(), end_id + 1)
         for batch in batches:
-            for a in range(0, len(batch), 1000):
-                part = batch[a : a + 1000]
+            for part in slices(batch, size=4 << 20):
                 ids = [np.append(x, x.dtype.type(end_id)) for x in model.encode(part["text"].to_list())]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "key": curve_keys(ids, vocab), "width": [x.itemsize for x in ids], "ids": [x.tobytes() for x in ids]})
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import partitions_for, shuffle_partitions
+from papyrine.llm.common import partitions_for, shuffle_partitions, slices
 from papyrine.llm.tokens import encoder
 
 #: Reversed Castagnoli polynomial, the constant of masked checksums, and bytes that one step of the sums covers.
@@ -121,7 +121,7 @@ def _writer(path: str, tokenizer: str, end_id: int):
         name, own = f"{at}/shard-{shard:06d}", f"{at}/.{shard:06d}-{uuid.uuid4().hex}"
         model, offset, n_docs, n_tokens = encoder(tokenizer), 0, 0, 0
         with store.open_output_stream(own + ".rec") as rec, store.open_output_stream(own + ".idx") as idx:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, size=4 << 20)):
                 ids = model.encode(batch["text"].to_list())
                 null = batch["doc_id"].isna().to_numpy()
                 doc = batch["doc_id"].fillna(0).to_numpy(np.int64)

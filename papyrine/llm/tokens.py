@@ -13,41 +13,40 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces kept by a worker; a longer piece than KEEP_CHARS isn't kept.
 KEEP, KEEP_CHARS = 700_000, 64
 #: Words that are encoded as one text.
 TOGETHER = 256
 
-#: White space other than a blank or line feed, our own mark, and the one letter whose small form ends in a sign that is
-#: no letter; a comma or full stop, before white space, that doesn't follow a letter or digit. In texts without these, and without blanks in a row, every single blank or line feed is a
-#: sure cut, and so is the comma or full stop before one.
-_ODD = re.compile(r"[\x01\u0130\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_MARKS = re.compile(r"(?<![^\W_])[.,][ \n]")
+#: What makes cuts unsure: white space other than a blank or line feed, our own mark, and the one letter whose small form
+#: ends in a sign that is no letter; blanks or line feeds in a row; a comma or full stop, before white space, that doesn't
+#: follow a letter or digit. In texts without these every single blank or line feed is a sure cut, and so is the comma or
+#: full stop before one.
+_UNSURE_RE2 = r"[\x01\x{130}\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|(?:^|[^\pL\pN])[.,][ \n]"
 _SURE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
-def _unsure(text: str) -> bool:
-    pairs = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
-    return pairs or bool(_ODD.search(text) or _MARKS.search(text))
-
-
 def _pieces_byte(text: str) -> list[str]:
-    """Pieces whose encodings, one after the other, are that of the text, for GPT-2 style byte-level splitting."""
-    if _unsure(text):
-        return _SURE_SPACE.split(text)
-    text = text.replace(".\n", "\x01.\n").replace("\n", "\x01\n\x01").replace(", ", "\x01, ").replace(". ", "\x01. ")
-    return text.replace(" ", "\x01 ").split("\x01")
+    """Pieces of a text of unsure cuts whose encodings, one after the other, are that of the text, for GPT-2 style
+    byte-level splitting."""
+    return _SURE_SPACE.split(text)
 
 
 def _pieces_word(text: str) -> list[str]:
     """The same for the BPE that lower-cases and drops white space."""
-    if _unsure(text):
-        return re.split(r"[ \n]+", text)
-    return text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").replace("\n", " ").split(" ")
+    return re.split(r"[ \n]+", text)
 
 
 CUTS = {"byte_bpe_50k.json": _pieces_byte, "word_bpe_49k.json": _pieces_word}
+#: How texts of sure cuts are cut: strings that are replaced, then the string between pieces.
+_REPLACED = {
+    _pieces_byte: [(".\n", "\x01.\n"), ("\n", "\x01\n\x01"), (", ", "\x01, "), (". ", "\x01. "), (" ", "\x01 ")],
+    _pieces_word: [(", ", " , "), (". ", " . "), (".\n", " .\n"), ("\n", " ")],
+}
+_SPLIT = {_pieces_byte: "\x01", _pieces_word: " "}
 #: How a word's tokens are told apart in these files: the first begins with the mark of a blank, or the last has the
 #: mark of a word's end; and what stands between words in a text of many.
 FIRST, LAST = "\u0120", "</w>"
@@ -99,19 +98,54 @@ class Encoder:
             part = rest[a : a + 4096]
             yield from zip(part, [x.tobytes() for x in self._ids(part)], strict=True)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """One array of unsigned 16- or 32-bit ids for each text."""
-        lists = [self.cut(t) for t in texts]
-        new = list(set().union(*lists).difference(self.known))
+    def _blobs(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces."""
+        new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > KEEP:
-            self.known = {}
-            new = list(set().union(*lists))
+            self.known, new = {}, pieces
         known, own = self.known, {}
         for piece, ids in self._learn(new):
             (known if len(piece) <= KEEP_CHARS else own)[piece] = ids
-        if own:
-            return [np.frombuffer(b"".join([own[p] if p in own else known[p] for p in x]), self.type) for x in lists]
-        return [np.frombuffer(b"".join(map(known.__getitem__, x)), self.type) for x in lists]
+        return [own[p] if p in own else known[p] for p in pieces] if own else list(map(known.__getitem__, pieces))
+
+    def _encode(self, lists: pa.Array) -> list[np.ndarray]:
+        """One array of ids for each list of pieces."""
+        coded = lists.values.dictionary_encode()
+        place = coded.indices.to_numpy()
+        blobs = self._blobs(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.type.itemsize
+        ids = np.frombuffer(b"".join(blobs), self.type)
+        lengths = size[place]
+        ends = np.cumsum(lengths)
+        # Each piece's ids are copied from where they are in ``ids`` to where the piece is.
+        shift = np.repeat((np.cumsum(size) - size)[place] - (ends - lengths), lengths)
+        out = ids[shift + np.arange(len(shift))]
+        bounds = np.append(0, ends)[lists.offsets.to_numpy()]
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """One array of unsigned 16- or 32-bit ids for each text."""
+        try:
+            column = pa.array(texts, pa.large_string())
+        except UnicodeEncodeError:  # half surrogates aren't text to the libraries
+            raise ValueError("text isn't valid Unicode") from None
+        if self.edge is None or not len(texts):
+            return self._ids(texts)
+        odd = pc.match_substring_regex(column, _UNSURE_RE2)
+        out: list[np.ndarray] = [None] * len(texts)
+        sure = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        if len(sure):
+            parts = column.take(pa.array(sure))
+            for a, b in _REPLACED[self.cut]:
+                parts = pc.replace_substring(parts, a, b)
+            for i, ids in zip(sure.tolist(), self._encode(pc.split_pattern(parts, _SPLIT[self.cut])), strict=True):
+                out[i] = ids
+        rest = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        if rest:
+            lists = pa.array([self.cut(texts[i]) for i in rest], pa.large_list(pa.large_string()))
+            for i, ids in zip(rest, self._encode(lists), strict=True):
+                out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
