@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.html.clean import check_limits, clean, metadata
-from papyrine.html.dom import parse, serialize
+from papyrine.html.clean import bad_selectors, check_limits, clean, metadata
+from papyrine.html.dom import HEADINGS, parse, serialize
 from papyrine.html.render import Renderer, mdx, plain_text, post_process, yaml_block
 from papyrine.options import Options
 
@@ -21,7 +21,7 @@ def convert(html: str, o: Options | None = None) -> dict:
     """Markdown, metadata and diagnostics of an HTML text; strict options raise on a limit."""
     o = o or Options()
     root = parse(html)
-    found = check_limits(root, o, len(html.encode("utf-8", "surrogatepass")))
+    found = bad_selectors(o) + check_limits(root, o, len(html.encode("utf-8", "surrogatepass")))
     meta = metadata(root)
     clean(root, o)
     s = post_process(Renderer(o).document(root), o)
@@ -49,7 +49,7 @@ def _rows(html: pd.Series, o: Options) -> list[dict]:
     for x in html:
         try:
             out.append({**convert(x or "", o), "error": None})
-        except (ValueError, RecursionError) as e:
+        except Exception as e:  # one document must not fail the others, whatever it is that it trips over
             out.append({"error": f"{type(e).__name__}: {e}", "diagnostics": []})
     return out
 
@@ -74,26 +74,114 @@ def convert_table(docs: DataFrame, o: Options | None = None, html: str = "html",
     return docs.withColumn("result", run.asNondeterministic()(F.col(html))).drop(html)
 
 
-def node_rows(html: str) -> list[tuple]:
-    """(id, parent, depth, ord, tag, attrs, text) of every element and text in document order."""
+def metadata_table(docs: DataFrame, html: str = "html") -> DataFrame:
+    """``docs`` with a column ``meta`` (the eight metadata fields) in place of its HTML; parsed, neither cleaned nor rendered."""
+
+    @F.pandas_udf(META)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([metadata(parse(x or "")) for x in batch], columns=[f.split()[0] for f in META.split(", ")])
+
+    return docs.withColumn("meta", run.asNondeterministic()(F.col(html))).drop(html)
+
+
+def clean_table(docs: DataFrame, o: Options | None = None, html: str = "html") -> DataFrame:
+    """``docs`` with a column ``cleaned`` (HTML after all rewrites; null where the document fails) in place of its HTML."""
+    o = o or Options()
+
+    def one(x: str) -> str | None:
+        try:
+            return clean_html(x or "", o)
+        except Exception:
+            return None
+
+    @F.pandas_udf("string")
+    def run(part: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in part], dtype=object)
+
+    return docs.withColumn("cleaned", run(F.col(html))).drop(html)
+
+
+def _found(docs: DataFrame, key: str, html: str, rows, schema: str) -> DataFrame:
+    """A row for each thing that ``rows`` finds in a document's tree, with the document's key."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            out = [(k, *r) for k, h in zip(batch[key], batch[html], strict=True) for r in rows(parse(h or ""))]
+            yield pd.DataFrame(out, columns=[key, *names])
+
+    return docs.select(key, html).mapInPandas(run, f"{key} {kind}, {schema}")
+
+
+def links(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """The anchors of documents in order: key, ord, href, text, title, rel (null where an attribute isn't there)."""
+
+    def rows(root):
+        found = [n for n in root.elements() if n.tag == "a" and "href" in n.attrs]
+        return [(i, n.attrs["href"], n.inner_text().strip(), n.attrs.get("title"), n.attrs.get("rel")) for i, n in enumerate(found)]
+
+    return _found(docs, key, html, rows, "ord int, href string, text string, title string, rel string")
+
+
+def headings(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """The headings of documents in order: key, ord, level, text."""
+
+    def rows(root):
+        return [(i, int(n.tag[1]), " ".join(n.inner_text().split())) for i, n in enumerate(n for n in root.elements() if n.tag in HEADINGS)]
+
+    return _found(docs, key, html, rows, "ord int, level int, text string")
+
+
+def tables(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """The cells of documents' tables: key, table, row, cell, header, text; cells of an inner table are its own."""
+
+    def rows(root):
+        at: dict[int, list[int]] = {}
+        order = [n for n in root.elements() if n.tag == "table"]
+        number = {id(t): i for i, t in enumerate(order)}
+        out = []
+        for n in root.elements():
+            if n.tag not in ("tr", "td", "th"):
+                continue
+            t = next((a for a in n.ancestors() if a.tag == "table"), None)
+            if t is None:
+                continue
+            place = at.setdefault(id(t), [-1, -1])
+            if n.tag == "tr":
+                place[0], place[1] = place[0] + 1, -1
+            else:
+                place[1] += 1
+                out.append((number[id(t)], place[0], place[1], n.tag == "th", " ".join(n.inner_text().split())))
+        return out
+
+    return _found(docs, key, html, rows, "table int, row int, cell int, header boolean, text string")
+
+
+def node_rows(html: str, tags: frozenset[str] | None = None) -> list[tuple]:
+    """(id, parent, depth, ord, tag, attrs, text) of every element and text in document order, or of some tags alone."""
     root, out = parse(html or ""), []
     ids: dict[int, int] = {}
     todo = [(c, -1, 1, i) for i, c in reversed(list(enumerate(root.children)))]
     while todo:
         n, up, depth, at = todo.pop()
         own = ids[id(n)] = len(ids)
-        out.append((own, up, depth, at, n.tag, [(k, v) for k, v in n.attrs.items()], n.text))
+        if tags is None or n.tag in tags:
+            out.append((own, up, depth, at, n.tag, [(k, v) for k, v in n.attrs.items()], n.text))
         todo.extend((c, own, depth + 1, i) for i, c in reversed(list(enumerate(n.children))))
     return out
 
 
-def dom_nodes(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """A row for each node: the key, id, parent, depth, ord, tag (null: text), attrs, text."""
+def dom_nodes(docs: DataFrame, key: str, html: str = "html", tags: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each node: the key, id, parent, depth, ord, tag (null: text), attrs, text. With ``tags``, only elements
+    with these leave the workers."""
+    wanted = None if tags is None else frozenset(tags)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            rows = [(k, *r[:5], [{"name": a, "value": v} for a, v in r[5]], r[6]) for k, h in zip(batch[key], batch[html], strict=True) for r in node_rows(h)]
+            rows = [(k, *r[:5], [{"name": a, "value": v} for a, v in r[5]], r[6]) for k, h in zip(batch[key], batch[html], strict=True) for r in node_rows(h, wanted)]
             yield pd.DataFrame(rows, columns=[key, "id", "parent", "depth", "ord", "tag", "attrs", "text"])
 
     return docs.select(key, html).mapInPandas(run, f"{key} {kind}, id int, parent int, depth int, ord int, tag string, attrs array<struct<name:string,value:string>>, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -94,18 +95,36 @@ MARKDOWN_STEPS = (
     (r"(?m)^\d+\.\s+", ""),
     (r"(?m)^---+\s*$", ""),
 )
+#: Fixed value: Unicode's white space, for character classes.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Escaped punctuation waits in the private-use area while markup is removed.
 HIDDEN = "".join(chr(0xE100 + ord(c)) for c in PUNCTUATION)
 
 
+#: What a text must hold for a step to do anything, in the steps' order; None where there is no such string.
+_MARKS = ("```", "~~~", "`", "![", "](", "**", "__", "*", "_", "~~", "==", "++", "^", "~", "#", ">", None, None, "---")
+
+
+def _where(x: Column, mark: str | None, f: Callable[[Column], Column]) -> Column:
+    """``f`` of the texts that hold the mark; the text is bound once, so steps don't multiply the expression."""
+    if mark is None:
+        return f(x)
+    return F.transform(F.array(x), lambda v: F.when(v.contains(mark), f(v)).otherwise(v))[0]
+
+
 def strip_markdown(x: Column) -> Column:
-    """Plain text of Markdown: markup goes, backslash escapes become what they stand for, blank lines collapse."""
-    for c, h in zip(PUNCTUATION, HIDDEN, strict=True):
-        if c == "\\":
-            x = F.replace(x, F.lit("\\\\"), F.lit(h))
-    x = reduce(lambda y, ch: F.replace(y, F.lit("\\" + ch[0]), F.lit(ch[1])), [p for p in zip(PUNCTUATION, HIDDEN, strict=True) if p[0] != "\\"], x)
-    for pattern, to in MARKDOWN_STEPS:
-        x = F.regexp_replace(x, pattern.replace("(?m)", "(?md)"), to)
-    x = F.regexp_replace(F.translate(x, HIDDEN, PUNCTUATION), r"(?U)^\s+|\s+\z", "")
-    return F.regexp_replace(x, r"\n{3,}", "\n\n")
+    """Plain text of Markdown: markup goes, backslash escapes become what they stand for, blank lines collapse. White
+    space and digits are Unicode's."""
+
+    def hide(v: Column) -> Column:
+        pairs = sorted(zip(PUNCTUATION, HIDDEN, strict=True), key=lambda p: p[0] != "\\")
+        return reduce(lambda y, ch: F.replace(y, F.lit("\\" + ch[0]), F.lit(ch[1])), pairs, v)
+
+    x = _where(x, "\\", hide)
+    for (pattern, to), mark in zip(MARKDOWN_STEPS, _MARKS, strict=True):
+        flags = "(?Umd)" if pattern.startswith("(?m)") else "(?U)"
+        x = _where(x, mark, lambda v, p=flags + pattern.removeprefix("(?m)"), t=to: F.regexp_replace(v, p, t))
+    x = F.translate(x, HIDDEN, PUNCTUATION)
+    x = F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+    return _where(x, "\n\n\n", lambda v: F.regexp_replace(v, r"\n{3,}", "\n\n"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid")
 BLOCKED = ("javascript", "data", "file")
 
+#: The largest width that counts.
+MOST = 2**32 - 1
 _ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
@@ -30,7 +32,7 @@ def strip_tracking(url: Column, extra: tuple[str, ...] = ()) -> Column:
 
     pairs = F.filter(F.split(parts, "&"), lambda p: p != "")
     kept = F.filter(pairs, lambda p: ~F.coalesce(F.try_url_decode(F.substring_index(p, "=", 1)), F.lit("")).isin(*TRACKING, *extra))
-    again = F.transform(kept, lambda p: F.concat(form(F.substring_index(p, "=", 1)), F.lit("="), form(F.regexp_extract(p, "^[^=]*=?([^\n]*)$", 1))))
+    again = F.transform(kept, lambda p: F.concat(form(F.substring_index(p, "=", 1)), F.lit("="), form(F.regexp_extract(p, r"\A[^=]*=?([\s\S]*)\z", 1))))
     query = F.when(F.size(again) > 0, F.concat(F.lit("?"), F.array_join(again, "&"))).otherwise("")
     return F.when(url.rlike(_ABSOLUTE) & url.rlike(r"^[^#]*\?"), F.concat(head, query, tail)).otherwise(url)
 
@@ -49,15 +51,20 @@ def rewrite(url: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def pick_srcset(srcset: Column, policy: str = "first-srcset") -> Column:
-    """The first candidate's URL, or that of the largest (``w`` pixels, ``x`` densities times 1000), the last of equals."""
+    """The first candidate's URL, or that of the largest, the last of equals: by its second word, whole ``w`` pixels up to
+    MOST or ``x`` densities times 1000; what can't be read is 0."""
     items = F.filter(F.transform(F.split(srcset, ","), lambda c: F.regexp_replace(F.trim(c), r"\s+", " ")), lambda c: c != "")
     url = F.transform(items, lambda c: F.substring_index(c, " ", 1))
     if policy != "largest":
         return F.coalesce(F.try_element_at(url, F.lit(1)), F.lit(""))
 
     def weight(c: Column) -> Column:
-        size = F.regexp_extract(c, r" ([0-9.]+)[wx]$", 1).try_cast("double")
-        return F.coalesce(F.when(c.endswith("x"), size * 1000).otherwise(size), F.lit(0.0)).cast("long")
+        d = F.split(c, " ")[1]
+        n = F.substring(d, F.lit(1), F.length(d) - 1)
+        pixels = F.when(n.rlike(r"\A\+?[0-9]+\z"), n.try_cast("long"))
+        dense = F.when(n.rlike(r"\A\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), n.try_cast("float") * 1000).cast("double")
+        size = F.when(d.endswith("w"), F.when(pixels <= MOST, pixels)).when(d.endswith("x"), F.least(dense, F.lit(float(MOST))).cast("long"))
+        return F.when(F.size(F.split(c, " ")) > 1, F.coalesce(size, F.lit(0))).otherwise(F.lit(0)).cast("long")
 
     return F.coalesce(F.array_max(F.transform(items, lambda c, i: F.struct(weight(c).alias("w"), i.alias("i"), F.substring_index(c, " ", 1).alias("u"))))["u"], F.lit(""))
 
@@ -99,9 +106,11 @@ def pick_srcset_py(srcset: str, policy: str) -> str:
         return items[0][0]
 
     def weight(c: list[str]) -> int:
-        try:
-            return int(float(c[1][:-1]) * (1000 if c[1][-1] == "x" else 1)) if len(c) > 1 and c[1][-1] in "wx" else 0
-        except ValueError:
-            return 0
+        n = c[1][:-1] if len(c) > 1 else ""
+        if len(c) > 1 and c[1][-1] == "w" and re.fullmatch(r"\+?[0-9]+", n):
+            return int(n) if int(n) <= MOST else 0
+        if len(c) > 1 and c[1][-1] == "x" and re.fullmatch(r"\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", n):
+            return int(min(float(MOST), float(n) * 1000))
+        return 0
 
     return max(enumerate(items), key=lambda ic: (weight(ic[1]), ic[0]))[1][0]

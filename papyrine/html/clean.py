@@ -7,7 +7,7 @@ import re
 from papyrine.functions.code import detect_language_py
 from papyrine.functions.url import pick_srcset_py, rewrite_py
 from papyrine.html.dom import HEADINGS, Node
-from papyrine.html.select import SelectorError, select
+from papyrine.html.select import SelectorError, compile_selector, select
 from papyrine.options import Options
 
 _HIDING = re.compile(r"display: ?none|visibility: ?hidden")
@@ -85,6 +85,18 @@ def _math_script(n: Node) -> bool:
     return n.tag == "script" and n.attrs.get("type", "").startswith(("math/", "text/asciimath"))
 
 
+def bad_selectors(o: Options) -> list[tuple[str, str]]:
+    """A (rule, message) warning for each selector that can't be read; it selects nothing. Strict options don't load."""
+    found = []
+    asked = [*o.remove_selectors, *o.unwrap_selectors, *o.keep_only_selectors, *(s for r in o.custom_rules for s in r[0])]
+    for css in [*asked, *filter(None, (o.extract_selector, o.main_content_selector))]:
+        try:
+            compile_selector(css)
+        except SelectorError:
+            found.append(("selector", f"invalid selector {css!r}"))
+    return found
+
+
 def _act(n: Node, action: str) -> None:
     if n.parent is None:
         return
@@ -105,7 +117,9 @@ def complex_table(t: Node) -> bool:
     for r in rows:
         cells = [c for c in r.element_children() if c.tag in ("td", "th")]
         sizes.add(len(cells))
-        if any(c.attrs.get(k, "").strip() not in ("", "1") for c in cells for k in ("colspan", "rowspan")):
+        spans = [[c.attrs[k].strip() for k in ("colspan", "rowspan") if k in c.attrs] for c in cells]
+        # The first cell of a row that has a span attribute decides.
+        if any(s not in ("", "1") for s in next(filter(None, spans), ())):
             return True
     return len(rows) > 1 and (len(sizes) > 1 or 0 in sizes)
 
@@ -161,9 +175,14 @@ def clean(root: Node, o: Options) -> None:
                         n.attrs = {**n.attrs, "#tag": n.tag, "#rule": str(k)}
                         n.tag = "x-rule"
     for n in root.elements():
-        for key in ("href", "src"):
+        for key in ("href", "src", "srcset"):
             if key in n.attrs:
-                n.attrs[key] = rewrite_py(n.attrs[key], o.base_url, list(o.url_rewrite_rules), o.remove_tracking_params, o.tracking_params, o.blocked_url_schemes, o.allowed_url_schemes)
+                at = n.attrs[key]
+                if key == "srcset":
+                    at = pick_srcset_py(at, o.responsive_image_policy)
+                    if not at:
+                        continue
+                n.attrs[key] = rewrite_py(at, o.base_url, list(o.url_rewrite_rules), o.remove_tracking_params, o.tracking_params, o.blocked_url_schemes, o.allowed_url_schemes)
         if o.title_attribute == "ignore":
             n.attrs.pop("title", None)
 
@@ -184,14 +203,15 @@ def _elements(root: Node, o: Options) -> None:
         elif "-" in tag and tag != "annotation-xml" and o.custom_element_policy != "preserve-html":
             _act(n, o.custom_element_policy)
         elif tag == "table":
-            hard = complex_table(n)
-            how = {"span-cells": "flatten"}.get(o.difficult_table_strategy, o.difficult_table_strategy) if hard else o.table_handling
+            how = o.table_handling
+            if how == "gfm" and complex_table(n):
+                how = "html-fallback" if o.difficult_table_strategy == "html-fallback" else "flatten"
             if how == "drop":
                 n.detach()
             elif how == "flatten":
                 rows = [[c.inner_text().strip() for c in r.elements() if c.tag in ("td", "th")] for r in n.elements() if r.tag == "tr"]
                 text = "\n\n".join(" | ".join(filter(None, r)) for r in rows if any(r))
-                n.replace_text(text) if text else n.detach()
+                n.replace_text(f"\n\n{text}\n\n") if text else n.detach()
             elif how in ("csv-like", "html-fallback"):
                 n.attrs["#table"] = how
         elif tag in ("video", "audio", "figure", "figcaption", "source") and o.media_policy != "inline" or tag == "figure":
@@ -212,11 +232,21 @@ def _form(form: Node) -> str:
     lines = []
     for c in form.elements():
         if c.tag in ("input", "button", "select", "textarea"):
-            own = c.attrs.get("id")
-            label = next((x.inner_text().strip() for x in form.elements() if own and x.tag == "label" and x.attrs.get("for") == own), "")
-            value = c.attrs.get("value") or c.attrs.get("placeholder") or (c.inner_text().strip() if c.tag == "button" else "")
-            lines.append(f"{label}: {value}" if label else value)
-    return "\n".join(filter(None, lines))
+            label, value = _label(c), c.attrs.get("value") or c.attrs.get("placeholder") or ""
+            if label or value:
+                lines.append(f"{label}: {value}".strip())
+    return "\n".join(lines)
+
+
+def _label(control: Node) -> str:
+    """The text of the nearest label that names the control's id in its ``for`` or within any attribute."""
+    own, at = control.attrs.get("id"), control.parent
+    while own is not None and at is not None:
+        for x in at.elements():
+            if x.tag == "label" and any(k == "for" and v == own or own in v for k, v in x.attrs.items()):
+                return x.inner_text().strip()
+        at = at.parent
+    return ""
 
 
 def _language(code: Node, o: Options) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import re
 import unicodedata
 from collections.abc import Callable
@@ -58,6 +56,10 @@ def indent(s: str, pad: str) -> str:
     return "\n".join([first, *((pad + x.rstrip()) if x.strip() else "" for x in rest)])
 
 
+def csv_field(s: str) -> str:
+    return '"' + s.replace('"', '""') + '"' if re.search('[,"\n]', s) else s
+
+
 def fence_for(content: str, mark: str) -> str:
     runs = [len(m) for m in re.findall(re.escape(mark) + "{3,}", content)]
     return mark * (max(runs) + 1 if runs else 3)
@@ -72,6 +74,10 @@ class Renderer:
         self.gfm = self.extended or o.profile == "gfm"
         self.links: list[str] = []
         self.images: list[str] = []
+        #: Definitions that wait for the next heading, and how many references have been made, where placement isn't "end".
+        self.waiting: list[str] = []
+        self.made = 0
+        self.in_pre = 0
         self.by_tag: dict[str, Callable[[Node], str]] = {
             "br": lambda n: "\\\n" if o.hard_break_style == "backslash" else "  \n",
             "hr": lambda n: block({"dashes": "- - -", "asterisks": "* * *", "underscores": "_ _ _"}[o.hr_style]),
@@ -103,7 +109,7 @@ class Renderer:
 
     def document(self, root: Node) -> str:
         out = self.inside(root).strip("\n")
-        for part in (self.links, self.images):
+        for part in (self.waiting, self.links, self.images):
             if part:
                 out += "\n\n" + "\n".join(part)
         return out.rstrip("\n")
@@ -111,7 +117,9 @@ class Renderer:
     # -- the walk
     def inside(self, node: Node) -> str:
         is_block = node.tag in BLOCKS or node.tag == "#document"
-        pre = node.tag in ("pre", "code") or any(a.tag in ("pre", "code") for a in node.ancestors())
+        own = node.tag in ("pre", "code")
+        self.in_pre += own
+        pre = self.in_pre > 0
         out, trim = "", is_block and not pre
         for child in self.merged(node.children):
             if child.tag == "!":
@@ -125,6 +133,7 @@ class Renderer:
             out = join(out, new)
             if new:
                 trim = child.tag in BLOCKS and not pre
+        self.in_pre -= own
         return out.rstrip(" \t\r\n") if node.tag == "#document" else out
 
     def text(self, n: Node, pre: bool, trim: bool, out: str) -> str:
@@ -160,13 +169,14 @@ class Renderer:
 
     # -- elements
     def heading(self, n: Node) -> str:
-        s = _SPACES.sub(" ", self.inside(n)) if "\n\n" not in self.inside(n) else self.inside(n).strip("\n")
-        s, level = s.strip(), int(n.tag[1])
+        before, self.waiting = (self.waiting, []) if self.o.reference_placement == "section-end" else ([], self.waiting)
+        flushed = block("\n".join(before))
+        s = self.inside(n)
+        s, level = (s if "\n\n" in s else _SPACES.sub(" ", s)).strip(), int(n.tag[1])
         if not s:
-            return ""
-        if self.o.heading_style == "setext" and level < 3:
-            return block(f"{s}\n{'=-'[level - 1] * len(s)}")
-        return block(f"{'#' * level} {s}")
+            return flushed
+        made = f"{s}\n{'=-'[level - 1] * len(s)}" if self.o.heading_style == "setext" and level < 3 else f"{'#' * level} {s}"
+        return join(flushed, block(made))
 
     def wrapped(self, n: Node, mark: str) -> str:
         s = self.inside(n)
@@ -191,6 +201,8 @@ class Renderer:
         if self.o.profile == "obsidian" and ("wikilink" in n.attrs.get("class", "").split() or n.attrs.get("rel") == "wikilink"):
             return f"[[{href}]]" if label.strip() in ("", href) else f"[[{href}|{label.strip()}]]"
         title = n.attrs.get("title", "").replace('"', '\\"')
+        if self.o.link_style == "reference" and self.o.reference_placement != "end":
+            return self.referred(f"[{label.strip().replace(']', chr(92) + ']')}]", "ref", href, n.attrs.get("title", ""))
         to = href.replace("(", "\\(").replace(")", "\\)")
         to = f"<{to}>" if " " in to else to
         to += f' "{title}"' if title else ""
@@ -205,12 +217,24 @@ class Renderer:
             made = f"[{core}][]" if self.o.link_style == "collapsed-reference" else f"[{core}]"
         return " " * (label[:1] == " ") + made + " " * (len(label) > 1 and label[-1:] == " ")
 
+    def referred(self, shown: str, kind: str, to: str, title: str) -> str:
+        """A numbered reference whose definition stands beside it or before the next heading."""
+        self.made += 1
+        name = f"{kind}{self.made}"
+        definition = f"[{name}]: {to}" + (f' "{title}"' if title else "")
+        if self.o.reference_placement == "adjacent":
+            return f"{shown}[{name}]\n\n{definition}\n\n"
+        self.waiting.append(definition)
+        return f"{shown}[{name}]"
+
     def image(self, n: Node) -> str:
         src = n.attrs.get("src", n.attrs.get("href"))
         if src is None:
             return ""
         alt = re.sub(r"\n+", "\n", n.attrs.get("alt", "")).replace('"', '\\"')
         title = n.attrs.get("title", "").replace('"', '\\"')
+        if self.o.image_mode == "reference" and self.o.reference_placement != "end":
+            return self.referred(f"![{n.attrs.get('alt', '').replace(']', chr(92) + ']')}]", "img", src, n.attrs.get("title", ""))
         if self.o.image_mode == "reference":
             self.images.append(f"[img{len(self.images) + 1}]: {src}" + (f' "{title}"' if title else ""))
             return f"![{alt}][img{len(self.images)}]"
@@ -276,7 +300,7 @@ class Renderer:
         return block(self.inside(n).strip("\n"))
 
     def code(self, n: Node) -> str:
-        if n.parent is not None and any(a.tag == "pre" for a in n.ancestors()):
+        if self.in_pre:
             s = n.inner_text().removesuffix("\n")
             own = f"{n.attrs.get('class', '')} {n.parent.attrs.get('class', '')}".split()
             named = next((c[9:] for c in own if c.startswith("language-")), "")
@@ -296,13 +320,13 @@ class Renderer:
     def math(self, s: str, display: bool) -> str:
         s = s.strip()
         how = self.o.math_output
-        if how == "inline-dollar":
-            return block(f"$$\n{s}\n$$") if display else f"${s}$"
-        if how == "block-dollar":
-            return block(f"$$\n{s}\n$$")
+        if how == "preserve-html":
+            return block(s)
+        if not s or how == "plain":
+            return s
         if how == "fenced":
-            return block(f"```math\n{s}\n```")
-        return s
+            return block(f"```math\n{s}\n```") if display else f"`{s}`"
+        return block(f"$${s}$$") if display or how == "block-dollar" else f"${s}$"
 
     def script(self, n: Node) -> str:
         if not self.o.math_enabled or "math" not in n.attrs.get("type", ""):
@@ -349,9 +373,8 @@ class Renderer:
             f = fence_for(s, "`")
             return block(f"{f}html\n{s}\n{f}")
         if how == "csv-like":
-            out = io.StringIO()
-            csv.writer(out, lineterminator="\n").writerows([" ".join(c.inner_text().split()) for c in r.element_children()] for r in rows)
-            return block(f"```csv\n{out.getvalue().rstrip(chr(10))}\n```")
+            lines = [",".join(csv_field(" ".join(c.inner_text().split())) for c in r.element_children()) for r in rows]
+            return block("```csv\n" + "\n".join(lines).rstrip("\n") + "\n```")
         if any(a.tag in ("td", "th") for a in n.ancestors()):
             return self.inside(n)
         captions = [self.inside(c).strip() for c in n.element_children() if c.tag == "caption"]
@@ -389,9 +412,11 @@ def plain_text(s: str) -> str:
     hide = dict(zip(T.PUNCTUATION, T.HIDDEN, strict=True))
     s = re.sub(r"\\([!-/:-@\[-`{-~])", lambda m: hide[m[1]], s)
     for pattern, to in T.MARKDOWN_STEPS:
+        # Unicode white space, without the separators that Python alone counts as such.
+        pattern = pattern.replace("[\\s\\S]", "(?s:.)").replace("[^^\\s]", f"[^^{T.SPACE}]").replace("[^~\\s]", f"[^~{T.SPACE}]").replace("\\s", f"[{T.SPACE}]")
         s = re.sub(pattern, to.replace("$1", r"\1"), s)
     s = s.translate(dict(zip(map(ord, T.HIDDEN), T.PUNCTUATION, strict=True)))
-    return re.sub(r"\n{3,}", "\n\n", s.strip())
+    return re.sub(r"\n{3,}", "\n\n", re.sub(f"^[{T.SPACE}]+|[{T.SPACE}]+\\Z", "", s))
 
 
 def mdx(s: str) -> str:

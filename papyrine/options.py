@@ -25,6 +25,7 @@ CHOICES = {
     "trailing_whitespace": ("trim", "preserve"),
     "final_newline": ("ensure", "preserve", "suppress"),
     "link_style": ("inline", "reference", "collapsed-reference", "shortcut-reference"),
+    "reference_placement": ("end", "section-end", "adjacent"),
     "title_attribute": ("ignore", "inline", "reference"),
     "hidden_content_policy": ("hide", "show"),
     "responsive_image_policy": ("first-srcset", "largest", "preserve-srcset"),
@@ -60,6 +61,7 @@ class Options:
     trailing_whitespace: str = "trim"
     final_newline: str = "ensure"
     link_style: str = "inline"
+    reference_placement: str = "end"
     title_attribute: str = "ignore"
     normalize_whitespace: bool = False
     remove_selectors: tuple[str, ...] = ()
@@ -130,7 +132,8 @@ class Options:
             try:
                 compile_selector(css)
             except SelectorError as e:
-                raise ConfigError(f"selector {css!r}") from e
+                if self.strict:
+                    raise ConfigError(f"selector {css!r}") from e
         for pattern in [*(p for p, _ in self.url_rewrite_rules), *self.code_language_patterns]:
             try:
                 re.compile(pattern)

@@ -33,14 +33,15 @@ def records(jobs: DataFrame, previous: DataFrame | None = None, policy: str = "o
     out = jobs.withColumns({"input_hash": F.sha2(F.col("html").cast("binary"), 256), "output_hash": F.sha2(F.col("markdown").cast("binary"), 256)})
     if previous is None:
         return out.withColumns({"changed": F.lit(True), "skipped": F.lit(False)})
-    old = previous.select("output_path", F.col("markdown").alias("__old"), F.lit(True).alias("__there"))
+    # Hashes travel, old texts don't.
+    old = previous.select("output_path", F.sha2(F.col("markdown").cast("binary"), 256).alias("__old"), F.lit(True).alias("__there"))
     out = out.join(old, "output_path", "left")
     there = F.coalesce("__there", F.lit(False))
     if policy == "fail-if-exists":
         stop = F.raise_error(F.concat(F.lit("output exists: "), F.col("output_path")))
-        out = out.withColumn("output_hash", F.when(there, stop.cast("string")).otherwise(F.col("output_hash")))
+        out = out.filter(F.when(there, stop.cast("boolean")).otherwise(True))
     skipped = there if policy == "skip-existing" else F.lit(False)
-    return out.withColumns({"changed": ~F.col("markdown").eqNullSafe(F.col("__old")), "skipped": skipped}).drop("__old", "__there")
+    return out.withColumns({"changed": ~F.col("__there").eqNullSafe(True) | ~F.col("output_hash").eqNullSafe(F.col("__old")), "skipped": skipped}).drop("__old", "__there")
 
 
 def manifest(found: DataFrame) -> DataFrame:

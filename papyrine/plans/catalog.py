@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.convert import convert_table, dom_nodes
+from papyrine.convert import clean_table, convert_table, dom_nodes, headings, links, metadata_table
 from papyrine.functions import code, text, url
 from papyrine.options import PROFILES, Options
 from papyrine.plans import batch
@@ -36,12 +36,14 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spread(pages: DataFrame) -> DataFrame:
-    """Pages dealt over all cores: a small file scans as one partition, and parsing is what takes time."""
-    return pages.repartition(max(1, pages.sparkSession.sparkContext.defaultParallelism), "page_id")
+    """Pages dealt over all cores where they scan as fewer partitions than there are cores: a small file is one
+    partition, and parsing is what takes time. Larger inputs aren't shuffled."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
 # -- URLs
-_KEYS = ", ".join(f"'{k}'" for k in url.TRACKING)
+_KEYS = "'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid'"
 _STRIP = f"""case when regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:') and regexp_matches(u, '^[^#]*[?]') then
   split_part(u, '?', 1) || (select case when len(l) > 0 then '?' || array_to_string(l, '&') else '' end from (select list_filter(
     string_split(regexp_extract(u, '[?]([^#]*)', 1), '&'), lambda p: p <> '' and split_part(p, '=', 1) not in ({_KEYS})) l)) ||
@@ -106,8 +108,8 @@ _string("fold_nbsp", "replace(text, ' ', chr(160))", text.fold_nbsp, "replace(x,
 _string("yaml_quote", "'a\"b' || chr(9) || chr(92) || text", text.yaml_quote, r"""'"' || replace(replace(replace(replace(replace(x, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"'""")
 _string("escape_mdx", "replace(replace(text, '. ', '} <b '), ', ', '{ < ')", text.escape_mdx, r"regexp_replace(regexp_replace(x, '([{}])', '\\\1', 'g'), '<([A-Za-z/>])', '\\<\1', 'g')")
 _string("escape_html_like", "replace(replace(text, '. ', ' <!x </b '), ', ', ' <?p < ')", text.escape_html_like, r"regexp_replace(x, '<(/?[A-Za-z]|[?!])', '\\<\1', 'g')")
-_string("csv_quote", "case when doc_id % 3 = 0 then text || '\"' when doc_id % 3 = 1 then lang else text end", text.csv_quote, """case when regexp_matches(x, '[,"\n]') then '"' || replace(x, '"', '""') || '"' else x end""")
-_string("fence_size", "repeat('`', cast(doc_id % 7 as int)) || ' ' || repeat('`', cast(doc_id % 4 as int))", text.fence, "case when doc_id % 7 >= 3 or doc_id % 4 >= 3 then repeat('`', 1 + greatest(cast(doc_id % 7 as int), cast(doc_id % 4 as int))) else '```' end")
+_string("csv_quote", "case when doc_id % 3 = 0 then text || '\"' when doc_id % 3 = 1 then replace(replace(text, ',', ';'), chr(10), ' ') else text end", text.csv_quote, """case when regexp_matches(x, '[,"\n]') then '"' || replace(x, '"', '""') || '"' else x end""")
+_string("fence_size", "repeat('`', cast(doc_id % 7 as int)) || ' ' || text || ' ' || repeat('`', cast(doc_id % 4 as int))", text.fence, "case when doc_id % 7 >= 3 or doc_id % 4 >= 3 then repeat('`', 1 + greatest(cast(doc_id % 7 as int), cast(doc_id % 4 as int))) else '```' end")
 
 
 def _markdown(x: str) -> str:
@@ -115,10 +117,14 @@ def _markdown(x: str) -> str:
 
 
 def _strip_sql() -> str:
-    out = "x"
-    for pattern, to in text.MARKDOWN_STEPS:
-        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$1', chr(92) + '1')}', 'g')"
-    return rf"regexp_replace(regexp_replace({out}, '^\s+|\s+\z', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    """Written for the marks that the made texts can hold (code spans, images, links, paired marks, line starts), as SQL
+    of its own: none of it is taken from the engine's steps."""
+    blank, out = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}", "x"
+    for pattern in (r"`([^`]+)`", r"!\[([^\]]*)\]\([^)]*\)", r"\[([^\]]+)\]\([^)]*\)", r"[*][*]([^*]+)[*][*]", "__([^_]+)__", r"[*]([^*\n]+)[*]", r"_([^_\n]+)_", "~~([^~]+)~~", r"==([^=\n]+)==", r"[+][+]([^+\n]+)[+][+]", rf"\^([^^{blank}]+)\^", f"~([^~{blank}]+)~"):
+        out = rf"regexp_replace({out}, '{pattern}', '\1', 'g')"
+    for pattern in (f"(?m)^#{{1,6}}[{blank}]+", f"(?m)^>[{blank}]?", f"(?m)^[*+-][{blank}]+", rf"(?m)^\p{{Nd}}+[.][{blank}]+", f"(?m)^---+[{blank}]*$", rf"\A[{blank}]+", rf"[{blank}]+\z"):
+        out = f"regexp_replace({out}, '{pattern}', '', 'g')"
+    return rf"regexp_replace({out}, '\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
 _string("strip_markdown", _markdown("text"), text.strip_markdown, _strip_sql())
@@ -129,15 +135,15 @@ _CODE = "case doc_id % 11 " + " ".join(f"when {i} then '{s}'" for i, s in enumer
 
 @query("select doc_id, case doc_id % 11 when 0 then 'rust' when 1 then 'python' when 2 then 'sql' when 3 then 'php' when 4 then 'c' when 5 then 'go' when 6 then 'json' when 7 then 'html' when 9 then 'shell' when 10 then 'cs' end as language from documents")
 def detect_language(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", code.detect_language(F.expr(_CODE)).alias("language"))
+    return _read(spark, sf_dir, "documents").select("doc_id", code.detect_language(F.concat(F.expr(_CODE), F.lit("\n"), F.col("text"))).alias("language"))
 
 
 @query("""select doc_id, case when t is null and d is null then '' else '---' || chr(10) || array_to_string(list_filter([
   case when t is not null then 'title: "' || t || '"' end, case when d is not null then 'description: "' || replace(d, chr(10), '\\n') || '"' end], lambda v: v is not null), chr(10)) || chr(10) || '---' || chr(10) end as block
-  from (select doc_id, case when doc_id % 3 > 0 then lang end t, case when doc_id % 3 > 1 then source || chr(10) end d from documents)""".replace("\\\\n", "\\n"))
+  from (select doc_id, case when doc_id % 3 > 0 then lang end t, case when doc_id % 3 > 1 then replace(text, '"', '') || chr(10) end d from documents)""".replace("\\\\n", "\\n"))
 def frontmatter(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    title, about = F.expr("case when doc_id % 3 > 0 then lang end"), F.expr("case when doc_id % 3 > 1 then source || chr(10) end")
+    title, about = F.expr("case when doc_id % 3 > 0 then lang end"), F.expr("case when doc_id % 3 > 1 then replace(text, '\"', '') || chr(10) end")
     return docs.select("doc_id", text.frontmatter(title, about, F.lit(None).cast("string")).alias("block"))
 
 
@@ -181,20 +187,36 @@ _REFS = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', chr(169)
 
 @query(f"select page_id, trim({_REFS.format('regexp_extract(html, $$<title>([^<]*)</title>$$, 1)')}) as title from pages")
 def page_title(spark, sf_dir):
-    done = convert_table(_spread(_pages(spark, sf_dir)))
-    return done.select("page_id", F.col("result.title").alias("title"))
+    return metadata_table(_spread(_pages(spark, sf_dir))).select("page_id", F.col("meta.title").alias("title"))
 
 
 @query("select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages")
 def page_links(spark, sf_dir):
-    nodes = dom_nodes(_spread(_pages(spark, sf_dir)), "page_id").filter("tag = 'a'")
-    return nodes.select("page_id", F.expr("filter(attrs, a -> a.name = 'href')[0].value").alias("href"))
+    return links(_spread(_pages(spark, sf_dir)), "page_id").select("page_id", "href")
+
+
+@query(f"select page_id, (unnest(range(len(h))))::int as ord, 1 as level, trim(regexp_replace({_REFS.format('unnest(h)')}, '[ \\t\\n]+', ' ', 'g')) as text from (select page_id, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) h from pages)".replace("\\\\", "\\"))
+def page_headings(spark, sf_dir):
+    return headings(_spread(_pages(spark, sf_dir)), "page_id")
+
+
+@query("select page_id, len(regexp_extract_all(html, '<script')) = 0 as plain, 0::bigint as scripts_left, 0::bigint as styles_left from pages")
+def cleaned_pages(spark, sf_dir):
+    pages = _spread(_pages(spark, sf_dir)).select("page_id", "html", F.col("html").alias("raw"))
+    done = clean_table(pages)
+
+    def count(c: str, tag: str) -> Column:
+        return F.size(F.regexp_extract_all(c, F.lit(f"(<{tag})"), F.lit(1))).cast("long")
+
+    return done.select("page_id", (count("raw", "script") == 0).alias("plain"), count("cleaned", "script").alias("scripts_left"), count("cleaned", "style").alias("styles_left"))
 
 
 @query("select page_id, len(regexp_extract_all(html, '<p>'))::bigint as paragraphs, len(regexp_extract_all(html, '<li>'))::bigint as items from pages")
 def tag_counts(spark, sf_dir):
-    nodes = dom_nodes(_spread(_pages(spark, sf_dir)), "page_id")
-    return nodes.groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "li").alias("items"))
+    pages = _spread(_pages(spark, sf_dir))
+    nodes = dom_nodes(pages, "page_id", tags=("p", "li")).groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("p"), F.count_if(F.col("tag") == "li").alias("li"))
+    zero = F.lit(0).cast("long")
+    return _pages(spark, sf_dir).select("page_id").join(nodes, "page_id", "left").select("page_id", F.coalesce("p", zero).alias("paragraphs"), F.coalesce("li", zero).alias("items"))
 
 
 def _converted(profile: str) -> Query:

@@ -83,7 +83,8 @@ def test_options_and_rules():
     with pytest.raises(ConfigError):
         Options.of(heading_style="x")
     with pytest.raises(ConfigError):
-        Options.of(remove_selectors=("[",))
+        Options.of(remove_selectors=("[",), strict=True)
+    assert convert("<p>x", Options.of(remove_selectors=("[",)))["diagnostics"][0]["rule"] == "selector"
     assert Options.of("extended", footnotes=False).footnotes is False
     assert load_options(env={"PAPYRINE_RENDER__BULLET": "asterisk"}, profile="gfm").bullet_marker == "asterisk"
 
@@ -123,3 +124,51 @@ def test_long_text():
     assert len(md("a" * (1 << 20))) == (1 << 20) + 1
     random.seed(1)
     assert md("".join(random.choice(PIECES) for _ in range(5000))) is not None
+
+
+def test_rendered_once():
+    import time
+
+    began = time.time()
+    assert md("<h1><div>" * 120 + "x").count("x") == 1 and time.time() - began < 1
+    html = "<h1><a href=u>a</a></h1><p><img src=i alt=q>"
+    assert md(html, link_style="reference") == "# [a][1]\n\n![q](i)\n\n[1]: u\n"
+    assert md(f"<h2>{html[4:15]}</h2>", link_style="reference").count("[1]: ") <= 1
+
+
+def test_reference_placement():
+    html = "<p><a href=u>A</a> and <a href=v title='B b'>B</a></p><h2>Next</h2><p><a href=w>C</a><img src=i alt=I>"
+    o = {"link_style": "reference", "title_attribute": "inline"}
+    assert md(html, reference_placement="adjacent", **o).startswith('[A][ref1]\n\n[ref1]: u\n\nand [B][ref2]\n\n[ref2]: v "B b"')
+    assert md(html, reference_placement="section-end", **o) == '[A][ref1] and [B][ref2]\n\n[ref1]: u\n[ref2]: v "B b"\n\n## Next\n\n[C][ref3]![I](i)\n\n[ref3]: w\n'
+    assert "![I][img4]" in md(html, reference_placement="section-end", image_mode="reference", **o)
+
+
+def test_tables_by_option():
+    hard = "<p>a<table><tr><td rowspan=2>b<td>c<tr><td>d</table>x"
+    assert "```csv\nb,c\nd\n```" in md(hard, table_handling="csv-like")
+    assert "```html" in md(hard, table_handling="html-fallback") and "b" not in md(hard, table_handling="drop")
+    assert "```html" in md(hard, difficult_table_strategy="html-fallback") and "b | c d x" in md(hard)
+    assert "```csv\n\na,\n```" not in md("<table><tr><td><tr><td>a</table>", table_handling="csv-like")
+    assert "|" in md("<table><tr><td colspan=1>a<td colspan=2>b</table>")  # the first cell with a span decides
+
+
+def test_math_output():
+    html = "<p>E: <script type='math/tex'>a+b</script>; <script type='math/tex; mode=display'>c</script></p>"
+    one = {how: md(html, "extended", math_output=how) for how in ("inline-dollar", "block-dollar", "fenced", "plain")}
+    assert "$a+b$" in one["inline-dollar"] and "$$c$$" in one["inline-dollar"] and "$$a+b$$" in one["block-dollar"]
+    assert "`a+b`" in one["fenced"] and "```math\nc\n```" in one["fenced"] and "$" not in one["plain"]
+
+
+def test_srcset_and_forms():
+    html = "<img srcset='a infw, b 1w, c 1e3w, d 0.5x' alt=q>"
+    assert md(html) == "![q](a)\n" and md(html, responsive_image_policy="largest") == "![q](d)\n"
+    assert 'srcset="https://h/b"' in clean_html("<img src=s srcset='a 1w, b 2w'>", Options.of(base_url="https://h/", responsive_image_policy="largest"))
+    form = "<div><label data-x='for-k1'>Name</label></div><form><input id=k1 value=v><button>go</button></form>"
+    assert "Name: v" in md(form, form_handling="readable")
+
+
+def test_plain_text_is_unicode():
+    from papyrine.html.render import plain_text
+
+    assert plain_text("#\u00a0x\n\u0661.\u2003y\n~a\u00a0b~\n---\u00a0\nz\x1f") == "x\ny\n~a\u00a0b~\n\nz\x1f"

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 from papyrine.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("PAPYRINE_TEST_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
