@@ -17,6 +17,10 @@ from papyrine.llm.common import LOWER, UPPER, Scratch
 
 #: Words of a window; slack of a proximity match, in words.
 WINDOW, SLACK = 10, 4
+#: Places of a cell in which two lists are met.
+CELL = 40
+#: Rows from the items that are broadcast (of at most WINDOW words each); classes of documents beyond that.
+SMALL, SALTS = 500_000, 16
 #: Characters that aren't part of a word.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -51,51 +55,70 @@ def lookups(found: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Positional postings of ``docs`` for the windows of ``items``, and the searches that use them."""
+    """Positional postings of ``docs`` for the windows of ``items``, and the searches that use them.
 
-    def __init__(self, docs: DataFrame, items: DataFrame, scratch: Scratch):
-        self.docs = docs.select(F.col("doc_id").alias("doc_id"), words(F.col("text")).alias("w"))
+    What comes from the items is joined by broadcast as long as it has at most SMALL rows, so that a term, however frequent,
+    is met where its postings lie; beyond that postings are dealt by SALTS classes of documents.
+    """
+
+    def __init__(self, docs: DataFrame, items: DataFrame, scratch: Scratch, small: int = SMALL):
+        self.scratch, self.small = scratch, small
+        self.texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+        self.docs = self.texts.select("doc_id", words(F.col("text")).alias("w"))
         self.items = scratch.table(windows(items), "windows")
-        terms = self.items.select(F.explode("words").alias("term")).distinct()
+        terms = scratch.table(self.items.select(F.explode("words").alias("term")).distinct(), "terms")
         tokens = self.docs.select(F.explode("w").alias("term"))
         # Counts over all documents of the terms that windows have; partial counts leave a row for each term and task.
-        counts = tokens.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        counts = tokens.join(self._bounded(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         self.lookups = scratch.table(lookups(self.items, scratch.table(counts, "counts")), "lookups")
-        posted = self.lookups.filter("n > 0").select("term").distinct()
-        places = self.docs.select("doc_id", F.posexplode("w").alias("pos", "term")).join(posted, "term", "left_semi")
+        posted = scratch.table(self.lookups.filter("n > 0").select("term").distinct(), "posted")
+        places = self.docs.select("doc_id", F.posexplode("w").alias("pos", "term")).join(self._bounded(posted), "term", "left_semi")
         self.postings = scratch.table(places, "postings")
 
+    def _bounded(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= self.small else df
+
     def _starts(self, rank: int) -> DataFrame:
         """Offset-adjusted lists: where a window could start, by its term of this rank."""
         look = self.lookups.filter(F.col("rank") == rank).select("window", "term", "offset", "n_terms")
-        return self.postings.join(look, "term").select("window", "n_terms", "doc_id", (F.col("pos") - F.col("offset")).alias("at"))
-
-    def _candidates(self) -> DataFrame:
-        first, second = self._starts(1), self._starts(2)
-        pair = first.filter("n_terms > 1").drop("n_terms").filter("at >= 0")
-        pair = pair.join(second.drop("n_terms"), ["window", "doc_id", "at"])
-        return pair.unionByName(first.filter("n_terms = 1").drop("n_terms").select("window", "doc_id", "at"))
-
-    def phrases(self) -> DataFrame:
-        """Exact occurrences: doc_id, window, at (word position, from 0), size."""
+        if look.count() <= self.small:
+            found = self.postings.join(F.broadcast(look), "term")
+        else:
+            dealt = self.postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+            found = dealt.join(look.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["term", "salt"])
+        return found.select("window", "n_terms", "doc_id", (F.col("pos") - F.col("offset")).alias("at"))
+
+    def _pairs(self, slack: int) -> DataFrame:
+        """Where the lists of a window's two rarest terms meet, at most ``slack`` places from each other: window, doc_id,
+        at, at2. Lists are met in cells of CELL places, the rarer one in the next cell too where it is near."""
+        size = CELL if slack else 1
+        near = [F.floor((F.col("at") + k) / size).cast("int") for k in (-slack, slack)]
+        a = self._starts(1).filter("n_terms > 1").select("window", F.col("doc_id").alias("a_doc"), "at", F.explode(F.sequence(*near)).alias("cell"))
+        # Both lists grow with the corpus, so neither is ever broadcast.
+        a = a.hint("merge")
+        b = self._starts(2).select("window", "doc_id", F.col("at").alias("at2"), F.floor(F.col("at") / size).cast("int").alias("cell"))
+        met = b.join(a, (a["window"] == b["window"]) & a["a_doc"].eqNullSafe(b["doc_id"]) & (a["cell"] == b["cell"])).filter(F.abs(F.col("at") - F.col("at2")) <= slack)
+        return met.select(b["window"], "doc_id", "at", "at2")
+
+    def phrases(self, pairs: DataFrame | None = None) -> DataFrame:
+        """Exact occurrences: doc_id, window, at (word position, from 0), size. Lists that meet at the same place are
+        candidates; these are compared with the words of their documents, the only ones whose texts are read again."""
+        pairs = self._pairs(0) if pairs is None else pairs
+        places = pairs.filter("at = at2 and at >= 0").select("window", "doc_id", "at")
+        places = places.unionByName(self._starts(1).filter("n_terms = 1 and at >= 0").select("window", "doc_id", "at"))
         look = self.lookups.filter("rank = 1").select("window", F.col("words").alias("want"))
-        places = self._candidates().join(look, "window")
-        per_doc = places.groupBy("doc_id").agg(F.collect_set(F.struct("window", "at", "want")).alias("places"))
-        # One row a document holds its own places; they are checked against its words there.
-        known = self.docs.join(per_doc.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-        right = F.filter("places", lambda p: F.slice("w", p["at"] + 1, F.size(p["want"])) == p["want"])
-        hit = known.select("doc_id", F.explode(right).alias("p"))
-        return hit.select("doc_id", "p.window", "p.at", F.size("p.want").alias("size")).distinct()
-
-    def proximity(self, slack: int = SLACK) -> DataFrame:
-        """Windows whose two rarest terms stand, in a document, at most ``slack`` words from their places to each other:
-        doc_id, window, at, shift. Exact places have shift 0. Lists are met in cells of ``slack`` + 1 places, so no
-        more than neighbouring cells are compared."""
-        size = slack + 1
-        a = self._starts(1).filter("n_terms > 1").withColumn("cell", F.floor(F.col("at") / size))
-        b = self._starts(2).select("window", "doc_id", F.col("at").alias("at2"), F.explode(F.array(*[F.floor(F.col("at") / size) + k for k in (-1, 0, 1)])).alias("cell"))
-        near = a.join(b, ["window", "doc_id", "cell"]).filter(F.abs(F.col("at") - F.col("at2")) <= slack)
-        return near.select("doc_id", "window", "at", (F.col("at2") - F.col("at")).alias("shift")).distinct()
+        per_doc = places.groupBy("doc_id").agg(F.collect_set(F.struct("window", "at")).alias("places"))
+        per_doc = self.scratch.table(per_doc.withColumnRenamed("doc_id", "__id"), "candidates")
+        # Candidates grow with the corpus, so they are never broadcast.
+        known = self.texts.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "places", words(F.col("text")).alias("w"))
+        own = known.select("doc_id", F.explode("places").alias("p"), "w").select("doc_id", "p.window", "p.at", F.slice("w", F.col("p.at") + 1, WINDOW).alias("has"))
+        right = own.join(self._bounded(look), "window").filter(F.slice("has", F.lit(1), F.size("want")) == F.col("want"))
+        return right.select("doc_id", "window", "at", F.size("want").alias("size")).distinct()
+
+    def proximity(self, pairs: DataFrame) -> DataFrame:
+        """Windows whose two rarest terms stand near their places to each other: doc_id, window, at, shift. Exact places
+        have shift 0."""
+        return pairs.select("doc_id", "window", "at", (F.col("at2") - F.col("at")).alias("shift")).distinct()
 
 
 def report(docs: DataFrame, items: DataFrame, scratch: Scratch, proximity: bool = False) -> DataFrame:
@@ -106,7 +129,8 @@ def report(docs: DataFrame, items: DataFrame, scratch: Scratch, proximity: bool
     repeat an id share what any of them has; a null id is an id; item ids that repeat are one item.
     """
     index = Index(docs, items, scratch)
-    hits = scratch.table(index.phrases(), "hits")
+    pairs = scratch.table(index._pairs(SLACK), "pairs") if proximity else None
+    hits = scratch.table(index.phrases(pairs), "hits")
     covered = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b")))).alias("runs"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     total = F.aggregate(
@@ -120,7 +144,8 @@ def report(docs: DataFrame, items: DataFrame, scratch: Scratch, proximity: bool
     out = index.docs.select("doc_id", F.size("w").cast("long").alias("n_words"))
     parts = [covered.select("doc_id", total.alias("n_hit")), named]
     if proximity:
-        near = index.proximity().select("doc_id", "window").distinct().join(hits.select("doc_id", "window").distinct(), ["doc_id", "window"], "left_anti")
+        near, exact = index.proximity(pairs).select("doc_id", "window").distinct(), hits.select(F.col("doc_id").alias("__id"), F.col("window").alias("__w")).distinct()
+        near = near.join(exact, (F.col("window") == F.col("__w")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
         near = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_near"))
         parts.append(near)
     for part in parts:
@@ -128,7 +153,7 @@ def report(docs: DataFrame, items: DataFrame, scratch: Scratch, proximity: bool
         out = out.join(part, out["doc_id"].eqNullSafe(part["__id"]), "left").drop("__id")
     items_of = F.coalesce("items", F.array().cast(T.ArrayType(T.StringType())))
     hit = F.coalesce("n_hit", F.lit(0))
-    return out.select(
+    return scratch.last(out.select(
         "doc_id",
         "n_words",
         hit.alias("n_hit"),
@@ -136,10 +161,11 @@ def report(docs: DataFrame, items: DataFrame, scratch: Scratch, proximity: bool
         F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
         *([F.coalesce("n_near", F.lit(0)).alias("n_near")] if proximity else []),
-    )
+    ))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents in which a window of a test item occurs; columns as they are."""
-    hits = Index(docs, items, Scratch(docs.sparkSession, "leaks")).phrases().select(F.col("doc_id").alias("__gone")).distinct()
+    scratch = Scratch(docs.sparkSession, "leaks")
+    hits = scratch.last(Index(docs, items, scratch).phrases().select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(hits, docs["doc_id"].eqNullSafe(hits["__gone"]), "left_anti")

@@ -291,6 +291,12 @@ def test_near_leaks(spark, tmp_path):
             want[i] += len(best) > 1 and not exact and any(abs(a - b) <= 4 for a in places[0] for b in places[1])
     assert {i: x.n_near for i, x in got.items()} == want
     assert all(want[50 + i] for i in range(6)) and got[40].contaminated and not got[30].n_near
+    # The same beyond the bound of what is broadcast.
+    docs, bench = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark"))
+    index = Index(docs, bench, Scratch(spark, "t"), small=0)
+    exact = {(x.doc_id, x.window, x.at) for x in index.phrases().collect()}
+    assert exact == {(x.doc_id, x.window, x.at) for x in Index(docs, bench, Scratch(spark, "t")).phrases().collect()} and exact
+    assert {i for i, _, _ in exact} == {i for i, x in got.items() if x.contaminated}
 
 
 def test_packing(spark, docs, empty):
