@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrine.llm.common import Scratch
+
 #: kind -> (pattern, group whose length counts, least length). Kinds are listed in the order that breaks ties.
 BASE = {
     "assign": (r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -24,6 +26,7 @@ ORDER = ("assign", "access", "hex", "live")
 #: A value that more sources or more documents than this share is an example (a document and its mirror in one other
 #: source aren't enough); a live value has this many different characters.
 MAX_SOURCES, MAX_DOCUMENTS, MIN_DISTINCT = 2, 3, 10
+HOT = 1000
 
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
@@ -60,29 +63,37 @@ def _is(kind: int):
     return lambda x: x == kind
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     A null text is empty and has no spans. ``n_live`` counts the document's values that at most MAX_SOURCES
-    sources and MAX_DOCUMENTS documents hold, ``n_example`` those that more share; a null source is a source of its own. Rows that repeat an id get the extra spans that any
-    of them has only where their own text has them, as spans are joined by id and text hash; a null id is an id.
+    sources and MAX_DOCUMENTS documents hold, ``n_example`` those that more share; a null source is a source of its own.
+    Rows that repeat an id get the extra spans that any of them has only where their own text has them, as spans are
+    joined by id and text hash; a null id is an id. An empty table gives no rows, other columns are ignored.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"))
     base = F.concat(*[spans(F.col("text"), i, *BASE[k]) for i, k in enumerate(BASE)])
     rows = rows.select("doc_id", "source", F.xxhash64("text").alias("text_key"), base.alias("base"), spans(F.col("text"), 3, EXTRA, 0, 20).alias("extra"))
     # A further candidate that a base span covers, wholly or in part, is that span's.
     free = F.filter("extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    rows = rows.withColumn("extra", free)
+    # Patterns run over each text once: what they find is written, and all else is done with that.
+    rows = scratch.table(rows.withColumn("extra", free), "found")
 
     # Ownership: one row for each value and source, and for each value and document, after partial counts, then one for
     # each value. The struct makes a null id count.
     held = rows.filter("size(base) + size(extra) > 0").select("doc_id", "text_key", "source", F.inline(F.concat("base", "extra")))
     held = held.withColumn("value_key", F.xxhash64("value"))
-    owners = held.groupBy("value_key").agg(F.count_distinct("source").alias("n_sources"), F.count_distinct(F.struct("doc_id")).alias("n_docs"))
-    owners = owners.select("value_key", ((F.col("n_sources") > MAX_SOURCES) | (F.col("n_docs") > MAX_DOCUMENTS)).alias("example"))
+    owners = held.groupBy("value_key").agg(F.count_distinct("source").alias("n_sources"), F.count_distinct(F.struct("doc_id")).alias("n_docs"), F.count(F.lit(1)).alias("n"))
+    owners = scratch.table(owners.select("value_key", "n", ((F.col("n_sources") > MAX_SOURCES) | (F.col("n_docs") > MAX_DOCUMENTS)).alias("example")), "owners")
     mixed = F.size(F.array_distinct(F.split("value", ""))) >= MIN_DISTINCT
-    judged = held.join(owners, "value_key").select("doc_id", "text_key", "kind", "start", "end", (~F.col("example") & mixed).alias("live"), "example")
+    # Values that more than one in HOT of all spans have are joined by broadcast: there are fewer than HOT of them.
+    least = (owners.agg(F.sum("n")).first()[0] or 0) // HOT + 1
+    often, others = owners.filter(F.col("n") > least), owners.filter(F.col("n") <= least)
+    marked = held.join(F.broadcast(often.select("value_key", F.col("example").alias("known"))), "value_key", "left")
+    rare = marked.filter("known is null").drop("known").join(others.select("value_key", "example"), "value_key")
+    judged = marked.filter("known is not null").withColumnRenamed("known", "example").unionByName(rare).select("doc_id", "text_key", "kind", "start", "end", (~F.col("example") & mixed).alias("live"), "example")
     per_doc = judged.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.when((F.col("kind") == 3) & F.col("live"), F.struct("kind", "start", "end"))).alias("added"),
         F.count_if("live").alias("n_live"),
@@ -95,11 +106,11 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     kinds = F.transform("base", lambda x: x["kind"])
     count = [F.size(F.filter(kinds, _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return both.select(
+    return scratch.last(both.select(
         "doc_id",
         *count,
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _joined(F.concat("base", F.coalesce("added", none))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_example", F.lit(0)).alias("n_example"),
-    )
+    ))
