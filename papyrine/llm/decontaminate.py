@@ -31,6 +31,11 @@ def words(text: Column) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def windows(items: DataFrame) -> DataFrame:
     """item_id (string), window id, its words: every WINDOW consecutive words, or all of a shorter item. The same words
     are one window, whichever items have them."""
@@ -101,7 +106,7 @@ class Index:
         return met.select(b["window"], "doc_id", "at", "at2")
 
     def phrases(self, pairs: DataFrame | None = None) -> DataFrame:
-        """Exact occurrences: doc_id, window, at (word position, from 0), size. Lists that meet at the same place are
+        """Exact occurrences: doc_id, text_key, window, at (word position, from 0), size. Lists that meet at the same place are
         candidates; these are compared with the words of their documents, the only ones whose texts are read again."""
         pairs = self._pairs(0) if pairs is None else pairs
         places = pairs.filter("at = at2 and at >= 0").select("window", "doc_id", "at")
@@ -110,10 +115,11 @@ class Index:
         per_doc = places.groupBy("doc_id").agg(F.collect_set(F.struct("window", "at")).alias("places"))
         per_doc = self.scratch.table(per_doc.withColumnRenamed("doc_id", "__id"), "candidates")
         # Candidates grow with the corpus, so they are never broadcast.
-        known = self.texts.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "places", words(F.col("text")).alias("w"))
-        own = known.select("doc_id", F.explode("places").alias("p"), "w").select("doc_id", "p.window", "p.at", F.slice("w", F.col("p.at") + 1, WINDOW).alias("has"))
+        known = self.texts.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
+        known = known.select("doc_id", "places", words(F.col("text")).alias("w"), text_key(F.col("text")).alias("text_key"))
+        own = known.select("doc_id", "text_key", F.explode("places").alias("p"), "w").select("doc_id", "text_key", "p.window", "p.at", F.slice("w", F.col("p.at") + 1, WINDOW).alias("has"))
         right = own.join(self._bounded(look), "window").filter(F.slice("has", F.lit(1), F.size("want")) == F.col("want"))
-        return right.select("doc_id", "window", "at", F.size("want").alias("size")).distinct()
+        return right.select("doc_id", "text_key", "window", "at", F.size("want").alias("size")).distinct()
 
     def proximity(self, pairs: DataFrame) -> DataFrame:
         """Windows whose two rarest terms stand near their places to each other: doc_id, window, at, shift. Exact places
@@ -165,7 +171,8 @@ def report(docs: DataFrame, items: DataFrame, scratch: Scratch, proximity: bool
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which a window of a test item occurs; columns as they are."""
+    """``docs`` without the documents in which a window of a test item occurs; columns as they are. Rows go by id and text,
+    so others that repeat an id, null among them, stay."""
     scratch = Scratch(docs.sparkSession, "leaks")
-    hits = scratch.last(Index(docs, items, scratch).phrases().select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["__gone"]), "left_anti")
+    hits = scratch.last(Index(docs, items, scratch).phrases().select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct())
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["__gone"]) & (text_key(docs["text"]) == hits["__key"]), "left_anti")

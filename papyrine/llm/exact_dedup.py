@@ -166,6 +166,10 @@ def exact_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text a row with a larger id has too; columns and row contents stay."""
-    gone = exact_groups(docs, Scratch(spark, "exact")).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """``docs`` without the rows whose text a row with a larger id has too; columns and row contents stay. Rows go by id and
+    text, so others that repeat an id, null among them, stay."""
+    scratch = Scratch(spark, "exact")
+    gone = exact_groups(docs, scratch).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
+    gone = scratch.last(gone.distinct())
+    own = F.sha2(lower_ascii(F.coalesce(docs["text"].cast("string"), F.lit(""))).cast("binary"), 256)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (own == gone["__sha"]), "left_anti")

@@ -83,3 +83,62 @@ def test_pipeline(spark):
     model = Encoder(tokenizer_file("word_bpe_49k.json")).model
     rows = corpus_pipeline.run(spark, SF).toPandas()
     assert rows.groupby("doc_id").length.sum().to_dict() == {i: len(model.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept.items()}
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, __gone string, key string, label string, component string, score string, ids string, window string, at string, hits string, kept string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names; and tables beside them."""
+    long = " ".join(f"w{i % 9973}x{i // 9973}" for i in range(120_000))
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, None), (2, ""), (3, " \t "), (None, "lone text without an id at all"), (None, "no id either and one two three four five six seven eight nine ten"), (4, long), (5, long.upper()), (6, f"{long} more"), (7, "same short text"), (7, "same short text"), (8, item + " and then more words"), (9, "a b c"), (10, "Same short text"), (None, None)]
+    at = str(tmp_path_factory.mktemp("odd"))
+    full = [(i, t, None, None, None, *(["x", None, "y", "z", "s", "i", "w", "a", "h", "k"])) for i, t in rows]
+    spark.createDataFrame(full, CLASH).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "zz"), (1, item)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, None), (9, 1, 0), (None, 0, 1), (9, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    none = str(tmp_path_factory.mktemp("none"))
+    for t in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{at}/{t}.parquet").limit(0).write.parquet(f"{none}/{t}.parquet")
+    return at, none, rows
+
+
+def test_stages_on_odd_rows(spark, odd):
+    at, none, rows = odd
+    docs = table(spark, at, "documents")
+    want = {
+        "toxicity": sorted((i or -1) for i, _ in rows),
+        # Of equal texts the largest id: 4/5 and 7/7/10 have equal texts, 1, 2 and the second null id are empty.
+        "exact dedup": sorted([2, 3, -1, -1, 5, 6, 8, 9, 10]),
+        "MinHash near-dedup": sorted([1, 2, 3, -1, -1, -1, 4, 7, 7, 8, 9]),
+        "benchmark decontamination": sorted((i or -1) for i, t in rows if "one two" not in (t or "")),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, at)
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id or -1) for r in got.select("doc_id").collect()) == want[name], name
+        assert stage(spark, table(spark, none, "documents"), none).count() == 0
+    name, stage = corpus_pipeline.STAGES[-1]
+    pieces = stage(spark, docs, at).toPandas()
+    model = Encoder(tokenizer_file("word_bpe_49k.json")).model
+    assert pieces.length.sum() == sum(len(model.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_queries_on_odd_rows(spark, odd):
+    from papyrine.llm import queries
+
+    at, none, rows = odd
+    for name, query in queries.queries().items():
+        got = query(spark, at).toPandas()
+        if name == "op6_packing":
+            assert set(got.doc_id.dropna().astype(int)) == {i for i, _ in rows if i is not None}
+        else:
+            assert sorted(got.doc_id.fillna(-1).astype(int)) == sorted((i or -1) for i, _ in rows), name
+        assert query(spark, none).count() == 0, name
+    got = {r.doc_id: r for r in queries.op1_substring_dedup(spark, at).collect()}
+    assert got[5].n_removed == 0 and got[6].n_removed > 600_000 and got[4].n_removed == 0
+    got = {r.doc_id: r for r in queries.op10_exact_dedup(spark, at).collect()}
+    assert got[4].keep_id == 5 and got[7].keep_id == 10 and got[7].group_size == 3
