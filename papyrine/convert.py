@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.html.clean import bad_selectors, check_limits, clean, metadata
-from papyrine.html.dom import HEADINGS, parse, serialize
+from papyrine.html.dom import HEADINGS, Node, parse, serialize
 from papyrine.html.render import Renderer, mdx, plain_text, post_process, yaml_block
 from papyrine.options import Options
 
@@ -17,14 +18,27 @@ META = "title string, description string, canonical_url string, og_title string,
 SCHEMA = f"markdown string, {META}, diagnostics array<struct<kind:string,message:string,rule:string>>, error string"
 
 
-def convert(html: str, o: Options | None = None) -> dict:
+class Backend(Protocol):
+    """What turns a cleaned tree into Markdown; it must be picklable to go to the workers."""
+
+    def render(self, root: Node, o: Options) -> str: ...
+
+
+class NativeBackend:
+    """The engine's own renderer."""
+
+    def render(self, root: Node, o: Options) -> str:
+        return Renderer(o).document(root)
+
+
+def convert(html: str, o: Options | None = None, backend: Backend | None = None) -> dict:
     """Markdown, metadata and diagnostics of an HTML text; strict options raise on a limit."""
     o = o or Options()
     root = parse(html)
     found = bad_selectors(o) + check_limits(root, o, len(html.encode("utf-8", "surrogatepass")))
     meta = metadata(root)
     clean(root, o)
-    s = post_process(Renderer(o).document(root), o)
+    s = post_process((backend or NativeBackend()).render(root, o), o)
     if o.profile == "plain-text":
         s = plain_text(s)
     elif o.profile == "mdx-safe":
@@ -44,17 +58,17 @@ def clean_html(html: str, o: Options | None = None) -> str:
     return serialize(root)
 
 
-def _rows(html: pd.Series, o: Options) -> list[dict]:
+def _rows(html: pd.Series, o: Options, backend: Backend | None) -> list[dict]:
     out = []
     for x in html:
         try:
-            out.append({**convert(x or "", o), "error": None})
+            out.append({**convert(x or "", o, backend), "error": None})
         except Exception as e:  # one document must not fail the others, whatever it is that it trips over
             out.append({"error": f"{type(e).__name__}: {e}", "diagnostics": []})
     return out
 
 
-def convert_table(docs: DataFrame, o: Options | None = None, html: str = "html", partitions: int | None = None) -> DataFrame:
+def convert_table(docs: DataFrame, o: Options | None = None, html: str = "html", partitions: int | None = None, backend: Backend | None = None) -> DataFrame:
     """``docs`` with a column ``result`` (Markdown, metadata, diagnostics, error) in place of its HTML.
 
     One Arrow-batched pass, without state, so it serves streams as well; a document that can't be converted has an error
@@ -68,7 +82,8 @@ def convert_table(docs: DataFrame, o: Options | None = None, html: str = "html",
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in f"markdown string, {META}".split(", ")] + ["diagnostics", "error"]
         for batch in batches:
-            yield pd.DataFrame(_rows(batch, o), columns=names)
+            done = _rows(batch, o, backend)
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in done], dtype=object) for n in names})
 
     # Not deterministic as far as the optimizer goes: a struct that is used twice is still made once.
     return docs.withColumn("result", run.asNondeterministic()(F.col(html))).drop(html)
@@ -80,7 +95,8 @@ def metadata_table(docs: DataFrame, html: str = "html") -> DataFrame:
     @F.pandas_udf(META)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([metadata(parse(x or "")) for x in batch], columns=[f.split()[0] for f in META.split(", ")])
+            done = [metadata(parse(x or "")) for x in batch]
+            yield pd.DataFrame({n: pd.Series([r[n] for r in done], dtype=object) for n in (f.split()[0] for f in META.split(", "))})
 
     return docs.withColumn("meta", run.asNondeterministic()(F.col(html))).drop(html)
 

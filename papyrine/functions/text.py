@@ -14,6 +14,11 @@ def compress_whitespace(x: Column) -> Column:
     return F.regexp_replace(x, r"[ \t\n\r\f]+", " ")
 
 
+def trim_document(x: Column) -> Column:
+    """Tabs, line ends and blanks at both ends go; other white space stays."""
+    return F.regexp_replace(x, r"\A[\t\n\r ]+|[\t\n\r ]+\z", "")
+
+
 def trim_lines(x: Column) -> Column:
     """Trailing white space of every line goes; CRLF becomes LF, and a final line feed goes too."""
     return F.regexp_replace(F.regexp_replace(x, r"(?U)[\s&&[^\n]]+(?=\n|\z)", ""), r"\n\z", "")

@@ -63,12 +63,25 @@ def pick_srcset(srcset: Column, policy: str = "first-srcset") -> Column:
         n = F.substring(d, F.lit(1), F.length(d) - 1)
         pixels = F.when(n.rlike(r"\A\+?[0-9]+\z"), n.try_cast("long"))
         dense = F.when(n.rlike(r"\A\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), n.try_cast("float") * 1000).cast("double")
-        size = F.when(d.endswith("w"), F.when(pixels <= MOST, pixels)).when(d.endswith("x"), F.least(dense, F.lit(float(MOST))).cast("long"))
+        size = F.when(d.endswith("w"), F.when(pixels <= MOST, pixels)).when(d.endswith("x") & dense.isNotNull(), F.least(dense, F.lit(float(MOST))).cast("long"))
         return F.when(F.size(F.split(c, " ")) > 1, F.coalesce(size, F.lit(0))).otherwise(F.lit(0)).cast("long")
 
     return F.coalesce(F.array_max(F.transform(items, lambda c, i: F.struct(weight(c).alias("w"), i.alias("i"), F.substring_index(c, " ", 1).alias("u"))))["u"], F.lit(""))
 
 
+def rewrite_url(url: Column, rules: list[tuple[str, str]] = (), strip: bool = True, tracking: tuple[str, ...] = (), blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ()) -> Column:
+    """The chain for absolute URLs as a column: scheme, rules, tracking parameters. A blocked scheme gives an empty text."""
+    kept = rewrite(url, list(rules))
+    kept = strip_tracking(kept, tracking) if strip else kept
+    return F.when(block_scheme(url, blocked, allowed) == "", F.lit("")).otherwise(kept)
+
+
+def rewrite_srcset(srcset: Column, policy: str = "first-srcset", rules: list[tuple[str, str]] = ()) -> Column:
+    """The chosen candidate's URL, rewritten; a srcset without candidates stays."""
+    chosen = pick_srcset(srcset, policy)
+    return F.when(chosen == "", srcset).otherwise(rewrite_url(chosen, rules))
+
+
 def escape_destination(url: Column) -> Column:
     return F.regexp_replace(url, r"([()])", r"\\$1")
 

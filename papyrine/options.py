@@ -166,6 +166,21 @@ def _flat(data: dict[str, Any], out: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def discover(home: str | None = None, here: str = ".") -> list[str]:
+    """Configuration files that are there, the weakest first: the user's (in the configuration folder), the project's."""
+    home = home or os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    return [p for p in (os.path.join(home, "papyrine", "config.toml"), os.path.join(here, ".papyrine.toml")) if os.path.isfile(p)]
+
+
+def show(o: Options | None = None) -> str:
+    """Options (the defaults without any) as JSON that load_options reads."""
+    data = dataclasses.asdict(o or Options())
+    data.pop("explicit")
+    data["custom_rules"] = [{"selectors": r[0], "action": r[1], "template": r[2], "priority": r[3]} for r in data["custom_rules"]]
+    data["per_tag_behavior"] = dict(data["per_tag_behavior"])
+    return json.dumps(data, indent=2)
+
+
 def load_options(*files: str, env: dict[str, str] | None = None, **flags: Any) -> Options:
     """Layers, the later the stronger: TOML or JSON files, PAPYRINE_* variables (``__`` nests), keyword arguments."""
     data: dict[str, Any] = {}

@@ -54,6 +54,20 @@ def manifest(found: DataFrame) -> DataFrame:
     )
 
 
+def diagnostics(found: DataFrame, key: str = "input_path", result: str = "result") -> DataFrame:
+    """A row for each diagnostic and error of converted documents: the key, kind, rule, message."""
+    listed = found.select(key, F.explode(f"{result}.diagnostics").alias("d")).select(key, "d.kind", "d.rule", "d.message")
+    failed = found.filter(F.col(f"{result}.error").isNotNull())
+    return listed.unionByName(failed.select(key, F.lit("error").alias("kind"), F.lit("").alias("rule"), F.col(f"{result}.error").alias("message")))
+
+
+def write_manifest(found: DataFrame, path: str) -> None:
+    """The manifest as JSON: a line for each file below ``path``/files, and the counts below ``path``/counts."""
+    wanted = ("input_path", "output_path", "title", "description", "canonical_url", "input_hash", "output_hash", "skipped", "changed", "error")
+    found.select(*[c for c in wanted if c in found.columns]).write.mode("overwrite").json(f"{path}/files")
+    manifest(found).coalesce(1).write.mode("overwrite").json(f"{path}/counts")
+
+
 def triage(found: DataFrame) -> DataFrame:
     """How many documents failed, by the kind of error."""
     return found.groupBy(F.coalesce(F.substring_index("error", ":", 1), F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("files"))

@@ -86,6 +86,13 @@ def srcset_largest(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", url.pick_srcset(F.expr(_SRCSET), "largest").alias("src"))
 
 
+@query("select page_id, case when page_id % 5 = 0 then '' else regexp_replace(url, '[?].*$', '') || case when page_id % 2 = 0 then 'c' else 'd' end end as srcset from pages")
+def srcset_rewrite(spark, sf_dir):
+    made = "concat(case when page_id % 5 = 0 then 'data:' else '' end, regexp_replace(url, '[?].*$', ''), {}"
+    srcset = F.expr(made.format("'a 320w, '), ")[:-2] + " || " + made.format("'b 1280w, ')") + " || " + made.format("case when page_id % 2 = 0 then 'c 2x' else 'd 1280w' end)"))
+    return _pages(spark, sf_dir).select("page_id", url.rewrite_srcset(srcset, "largest").alias("srcset"))
+
+
 @query(r"select page_id, replace(replace(u, '(', '\('), ')', '\)') as destination from (select page_id, url || '(' || page_id || ')' u from pages)")
 def url_escape_destination(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", url.escape_destination(F.expr("url || '(' || page_id || ')'")).alias("destination"))
@@ -101,6 +108,7 @@ def _string(name: str, made: str, f: Callable[[Column], Column], sql: str, spark
 
 
 _string("compress_whitespace", "replace(text, ' ', chr(9) || '  ')", text.compress_whitespace, r"regexp_replace(x, '[ \t\n\r\f]+', ' ', 'g')")
+_string("trim_document", "chr(10) || '  ' || text || chr(9) || chr(13) || chr(10)", text.trim_document, "trim(x, ' ' || chr(9) || chr(10) || chr(13))")
 _string("trim_lines", "replace(text, chr(10), '  ' || chr(9) || chr(13) || chr(10)) || ' ' || chr(10)", text.trim_lines, r"regexp_replace(regexp_replace(x, '[\t\r\f\v\x{0085}\p{Z}]+(\n|\z)', '\1', 'g'), '\n\z', '')")
 _string("final_newline_ensure", "case when doc_id % 2 = 0 then text || chr(10) else text end", text.final_newline, "case when ends_with(x, chr(10)) then x else x || chr(10) end")
 _string("final_newline_suppress", "text || chr(10) || chr(10)", lambda x: text.final_newline(x, "suppress"), r"regexp_replace(x, '\n+\z', '')")

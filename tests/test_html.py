@@ -172,3 +172,17 @@ def test_plain_text_is_unicode():
     from papyrine.html.render import plain_text
 
     assert plain_text("#\u00a0x\n\u0661.\u2003y\n~a\u00a0b~\n---\u00a0\nz\x1f") == "x\ny\n~a\u00a0b~\n\nz\x1f"
+
+
+def test_backend(spark):
+    from papyrine.convert import convert_table
+
+    class Loud:
+        def render(self, root, o):
+            if root.inner_text() == "bad":
+                raise RuntimeError("no")
+            return root.inner_text().upper()
+
+    docs = spark.createDataFrame([(1, "<p>a"), (2, "bad"), (3, None)], "i int, html string")
+    got = {r.i: (r.result.markdown, r.result.error) for r in convert_table(docs, backend=Loud()).collect()}
+    assert got == {1: ("A\n", None), 2: (None, "RuntimeError: no"), 3: ("\n", None)}

@@ -43,12 +43,89 @@ def test_stream_is_batch(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    from papyrine.sources.files import read_html
-
-    (tmp_path / "sub").mkdir()
-    (tmp_path / "a.HTML").write_text("<p>a")
-    (tmp_path / "b.txt").write_text("no")
-    (tmp_path / "sub" / "c.htm").write_bytes(b"\xef\xbb\xbf<p>\xc3\xa9")
-    assert {r.html for r in read_html(spark, str(tmp_path)).collect()} == {"<p>a"}
-    assert {r.html for r in read_html(spark, str(tmp_path), recursive=True).collect()} == {"<p>a", "<p>é"}
-    assert {r.html for r in read_html(spark, f"{tmp_path}/**/*.htm").collect()} >= {"<p>é"}
+    from papyrine.sources.files import glob_base, read_html, read_stdin
+
+    (tmp_path / "v1.2" / "sub").mkdir(parents=True)
+    top = tmp_path / "v1.2"
+    (top / "a.HTML").write_text("<p>a")
+    (top / "b.txt").write_text("no")
+    (top / "bad.html").write_bytes(b"<p>\xff")
+    (top / "sub" / "c.htm").write_bytes(b"\xef\xbb\xbf<p>\xc3\xa9")
+    (top / "sub" / "d.html").write_bytes("<p>x".encode("utf-16"))
+    got = {os.path.basename(r.path): (r.html, r.error is None) for r in read_html(spark, str(top)).collect()}
+    assert got == {"a.HTML": ("<p>a", True), "bad.html": (None, False)}
+    assert {r.html for r in read_html(spark, str(top), recursive=True).collect()} == {"<p>a", None, "<p>é", "<p>x"}
+    assert {r.html for r in read_html(spark, f"{top}/**/*.htm").collect()} == {"<p>é"}
+    assert [r.html for r in read_html(spark, str(top / "b.txt")).collect()] == ["no"]
+    assert [r.html for r in read_html(spark, str(top / "bad.html"), encoding="ISO-8859-1").collect()] == ["<p>ÿ"]
+    assert [glob_base(x) for x in ("/a/b/**/*.html", "/a/b*.html", "x*", "/a/b")] == ["/a/b", "/a", ".", "/a/b"]
+    import io
+
+    assert [tuple(r) for r in read_stdin(spark, io.BytesIO(b"<p>in")).collect()] == [(None, "<p>in")]
+
+
+def test_file_sink(spark, tmp_path):
+    import io
+
+    from papyrine.sources.files import write_files, write_stdout
+
+    rows = [(f"{tmp_path}/o/{i}/x.md", f"# {i}\n") for i in range(6)]
+    done = spark.createDataFrame(rows, "output_path string, markdown string").selectExpr("*", "timestamp'2020-01-02 03:04:05' as modified")
+    assert not any(r.written for r in write_files(done, dry_run=True).collect()) and not (tmp_path / "o").exists()
+    assert all(r.written for r in write_files(done, timestamps=True).collect())
+    assert {p.read_text() for p in tmp_path.glob("o/*/*")} == {t for _, t in rows} and os.path.getmtime(rows[0][0]) == 1577934245
+    with pytest.raises(FileExistsError):
+        write_files(done, "fail-if-exists")
+    assert all(r.skipped for r in write_files(done, "skip-existing").collect())
+    with pytest.raises(ValueError):
+        write_files(done.unionAll(done))
+    out = io.StringIO()
+    assert write_stdout(done, stream=out) == 6 and out.getvalue().count("#") == 6
+
+
+def test_batch_tables(spark, tmp_path):
+    from papyrine.convert import convert_table, tables
+    from papyrine.options import Options, discover, load_options, show
+    from papyrine.plans import batch
+    from papyrine.plans.corpus import corpus
+
+    pages = corpus(spark, 8, 3)
+    assert pages.select("kind").distinct().count() == 4 and pages.exceptAll(corpus(spark, 8, 3)).isEmpty()
+    done = convert_table(pages.withColumn("input_path", pages.url), Options.of("extended", max_input_bytes=10))
+    found = batch.diagnostics(done).collect()
+    assert {r.rule for r in found} == {"max-input-bytes"} and len(found) == 8
+    assert all(r.result.markdown.startswith(f"# Page {r.page_id}") for r in done.collect())
+    cells = tables(pages.filter("kind = 'tables'"), "page_id")
+    assert cells.count() == 2 * 4 * (2 + 3 * 2) and cells.filter("header").count() == 2 * 4 * 2
+    jobs = done.selectExpr("input_path", "concat('o/', page_id, '.md') as output_path", "result.markdown as html", "result.markdown as markdown")
+    batch.write_manifest(batch.records(jobs), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m" / "counts")).first().files == 8 and spark.read.json(str(tmp_path / "m" / "files")).count() == 8
+    (tmp_path / "c" / "papyrine").mkdir(parents=True)
+    (tmp_path / "c" / "papyrine" / "config.toml").write_text("[render]\nbullet = 'asterisk'\n")
+    (tmp_path / ".papyrine.toml").write_text("profile = 'gfm'\n")
+    o = load_options(*discover(str(tmp_path / "c"), str(tmp_path)), env={})
+    assert (o.bullet_marker, o.profile) == ("asterisk", "gfm")
+    (tmp_path / "all.json").write_text(show(o))
+    assert load_options(str(tmp_path / "all.json"), env={}) == o
+
+
+def test_column_twins(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from papyrine.functions import text, url
+    from papyrine.html.render import plain_text
+
+    r = random.Random(6)
+    bits = ["#", "# ", "1. ", "\u0661.", "~", "~~", "==", "--", "---", "*", "**", "_", "`", "```", "[", "](", ")", "!", ">", "\\\\", "+", "++", "^", "a", "b c", " ", "\u00a0", "\u2003", "\x1c", "\x85", "\u2028", "\n", "\n\n\n", "\r", "\t", "é"]
+    made = ["".join(r.choices(bits, k=r.randrange(30))) for _ in range(1500)]
+    got = spark.createDataFrame(list(enumerate(made)), "i int, x string").select("i", text.strip_markdown(F.col("x")).alias("y")).collect()
+    wrong = [(made[x.i], x.y, plain_text(made[x.i])) for x in got if x.y != plain_text(made[x.i])]
+    assert not wrong, wrong[:3]
+    words = ["a", " ", "  ", ",", "1w", "2x", "1e3w", "infw", "0.5x", "1e2x", "3", "nanx", "+7w", "99999999999w", "99999999999x", ".5x", "w", "b"]
+    sets = [" ".join(r.choices(words, k=r.randrange(8))) for _ in range(800)]
+    for policy in ("first-srcset", "largest"):
+        got = spark.createDataFrame(list(enumerate(sets)), "i int, x string").select("i", url.pick_srcset(F.col("x"), policy).alias("y")).collect()
+        wrong = [(sets[x.i], x.y, url.pick_srcset_py(sets[x.i], policy)) for x in got if x.y != url.pick_srcset_py(sets[x.i], policy)]
+        assert not wrong, wrong[:3]
