@@ -94,6 +94,24 @@ def partitions_for(df: DataFrame, least: int, size: int = 64 << 20, most: int =
     return least if found >= 1 << 60 else max(least, min(most, found // size))
 
 
+#: One key in so many rows is a frequent one; there can't be more of these than this.
+SHARE = 1000
+
+
+def joined_by_share(rows: DataFrame, found: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``found``, which has a row for each key and, in ``count``, how many of ``rows`` have it.
+
+    Keys that hold more than a thousandth of all rows, at most SHARE of them, are broadcast, so no task gets all rows of
+    one; the others meet by shuffle. Both sides are read twice and must be written tables. Keys aren't null.
+    """
+    total = found.agg(F.sum(count)).first()[0] or 0
+    frequent = F.col(count) * SHARE > total
+    here = F.broadcast(found.filter(frequent))
+    some = rows.join(here, keys)
+    rest = rows.join(F.broadcast(found.filter(frequent).select(*keys)), keys, "left_anti").join(found.filter(~frequent), keys)
+    return some.unionByName(rest)
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the decimal text of an id; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

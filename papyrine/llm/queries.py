@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm import language_model as lm
+from papyrine.llm.alignment import align_tokenizers
 from papyrine.llm.common import Scratch, table
 from papyrine.llm.decontaminate import report
 from papyrine.llm.exact_dedup import exact_groups
@@ -66,6 +67,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), Scratch(spark, "exact"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), Scratch(spark, "alignment"))
+
+
 OP5_SQL = r"""
 with recursive d as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents
@@ -110,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
     }
 
 
