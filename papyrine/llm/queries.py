@@ -98,15 +98,23 @@ with recursive d as (
 ), sizes as (select distinct k from win
 ), grams as (
   select doc_id, k, i, list_slice(w, i, i + k - 1) q from (select doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) i from d, sizes where len(w) >= k)
-), hit as (select g.doc_id, g.i, g.k, v.item_id from grams g join win v on g.q = v.q and g.k = v.k
+), hit as (select g.doc_id, g.i, g.k, g.q, v.item_id from grams g join win v on g.q = v.q and g.k = v.k
 ), covered as (
   select doc_id, count(distinct p) n_hit from (select doc_id, unnest(generate_series(i, i + k - 1)) p from hit) group by doc_id
 ), named as (
   select doc_id, count(distinct item_id) n_items, sha256(array_to_string(list_sort(list(distinct item_id)), ',')) items_sha256 from hit group by doc_id
+), tok as materialized (select doc_id, unnest(w) term, unnest(range(len(w))) pos from d
+), terms as (select q, term, min(off) off from (select q, unnest(q) term, unnest(range(len(q))) off from (select distinct q from win)) group by q, term
+), rarest as (
+  select q, term, off, row_number() over (partition by q order by coalesce(n, 0), term) r from terms left join (select term, count(*) n from tok group by term) using (term)
+), starts as materialized (select q, r, doc_id, pos - off place from rarest join tok using (term) where r <= 2
+), close as (
+  select distinct a.q, a.doc_id from starts a join starts b on a.q = b.q and a.doc_id = b.doc_id and a.r = 1 and b.r = 2 and abs(a.place - b.place) <= 4
+), near as (select doc_id, count(*) n_near from close c where not exists (select 1 from hit h where h.doc_id = c.doc_id and h.q = c.q) group by doc_id
 )
 select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
-  coalesce(items_sha256, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-from d left join covered using (doc_id) left join named using (doc_id)
+  coalesce(items_sha256, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_near, 0)::bigint n_near
+from d left join covered using (doc_id) left join named using (doc_id) left join near using (doc_id)
 """
 
 OP10_SQL = """
