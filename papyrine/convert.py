@@ -176,28 +176,46 @@ def tables(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 
 def node_rows(html: str, tags: frozenset[str] | None = None) -> list[tuple]:
-    """(id, parent, depth, ord, tag, attrs, text) of every element and text in document order, or of some tags alone."""
-    root, out = parse(html or ""), []
-    ids: dict[int, int] = {}
-    todo = [(c, -1, 1, i) for i, c in reversed(list(enumerate(root.children)))]
+    """(id, parent, depth, ord, tag, attrs, text, end) of every element, text and comment in document order, or of some tags
+    alone. A node's descendants are those whose ids lie after its own, up to ``end``."""
+    found, out = [], []
+    todo = [(c, -1, 1, i) for i, c in reversed(list(enumerate(parse(html or "").children)))]
     while todo:
         n, up, depth, at = todo.pop()
-        own = ids[id(n)] = len(ids)
-        if tags is None or n.tag in tags:
-            out.append((own, up, depth, at, n.tag, [(k, v) for k, v in n.attrs.items()], n.text))
+        own = len(found)
+        found.append((n, up, depth, at))
         todo.extend((c, own, depth + 1, i) for i, c in reversed(list(enumerate(n.children))))
+    size = [1] * len(found)
+    for own in range(len(found) - 1, -1, -1):
+        if (up := found[own][1]) >= 0:
+            size[up] += size[own]
+    for own, (n, up, depth, at) in enumerate(found):
+        if tags is None or n.tag in tags:
+            out.append((own, up, depth, at, n.tag, [(k, v) for k, v in n.attrs.items()], n.text, own + size[own] - 1))
     return out
 
 
+NODE = "id int, parent int, depth int, ord int, tag string, attrs array<struct<name:string,value:string>>, text string, end int"
+
+
 def dom_nodes(docs: DataFrame, key: str, html: str = "html", tags: tuple[str, ...] | None = None) -> DataFrame:
-    """A row for each node: the key, id, parent, depth, ord, tag (null: text), attrs, text. With ``tags``, only elements
-    with these leave the workers."""
+    """A row for each node: the key, id, parent (-1: none), depth, ord, tag (null: text, !: comment), attrs, text, end. With
+    ``tags``, only elements with these leave the workers. A document that can't be parsed has no rows.
+
+    ``papyrine.plans.nodes`` has what joins, prunes and selects these rows; there the key must be one document's.
+    """
     wanted = None if tags is None else frozenset(tags)
     kind = docs.schema[key].dataType.simpleString()
 
+    def rows_of(html):
+        try:
+            return node_rows(html, wanted)
+        except Exception:  # one document must not fail the others
+            return []
+
     def run(batches):
         for batch in batches:
-            rows = [(k, *r[:5], [{"name": a, "value": v} for a, v in r[5]], r[6]) for k, h in zip(batch[key], batch[html], strict=True) for r in node_rows(h, wanted)]
-            yield pd.DataFrame(rows, columns=[key, "id", "parent", "depth", "ord", "tag", "attrs", "text"])
+            rows = [(k, *r[:5], [{"name": a, "value": v} for a, v in r[5]], *r[6:]) for k, h in zip(batch[key], batch[html], strict=True) for r in rows_of(h)]
+            yield pd.DataFrame(rows, columns=[key, *(f.split()[0] for f in NODE.replace("struct<name:string,value:string>", "x").split(", "))])
 
-    return docs.select(key, html).mapInPandas(run, f"{key} {kind}, id int, parent int, depth int, ord int, tag string, attrs array<struct<name:string,value:string>>, text string")
+    return docs.select(key, html).mapInPandas(run, f"{key} {kind}, {NODE}")

@@ -24,7 +24,7 @@ def host(url: Column) -> Column:
 def strip_tracking(url: Column, extra: tuple[str, ...] = ()) -> Column:
     """An absolute URL without tracking parameters; the others are written again as form data, the fragment stays.
     Relative URLs, and those without a query, are as they were."""
-    parts = F.regexp_extract(url, r"^([^?#]*)\?([^#]*)(#.*)?$", 2)
+    parts = F.regexp_extract(url, r"^([^?#]*)\?([^#]*)", 2)
     head, tail = F.substring_index(url, "?", 1), F.regexp_extract(url, r"(#[\s\S]*)$", 1)
 
     def form(c: Column) -> Column:
@@ -43,6 +43,45 @@ def block_scheme(url: Column, blocked: tuple[str, ...] = BLOCKED, allowed: tuple
     return F.when(scheme.isin(*[b.lower() for b in blocked if b.lower() not in {a.lower() for a in allowed}]), "").otherwise(url)
 
 
+#: Scheme, authority with its slashes, path, query and fragment with their marks.
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#[\s\S]*)?"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its ``.`` and ``..`` segments resolved: a fold over the segments in order, in which
+    ``..`` takes the last one back. Nothing goes above the root."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, part: Column) -> Column:
+        up = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", acc).otherwise(F.concat(acc, F.array(part)))
+
+    folded = F.aggregate(parts, none, step)
+    last = F.element_at(parts, -1)
+    return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded), "/"))
+
+
+def resolve(url: Column, base: Column) -> Column:
+    """A reference resolved against an absolute hierarchical URL, by RFC 3986, 5.2.
+
+    A reference with another scheme, or with the base's scheme and an authority, is absolute and stays as it is; with the
+    base's scheme alone it is relative. An empty one is the base without its fragment. A base that isn't absolute with an
+    authority, or null, leaves the reference as it is; a null reference is null.
+    """
+    scheme, authority, path, query, fragment = (F.regexp_extract(url, _URL, k) for k in range(1, 6))
+    b_scheme, b_authority, b_path, b_query = (F.regexp_extract(base, _URL, k) for k in range(1, 5))
+    folder = F.when(b_path == "", "/").otherwise(F.regexp_extract(b_path, r"^(.*/)", 1))
+    merged = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    whole = F.when(path == "", b_path).when(~merged.contains("/."), merged).otherwise(_without_dots(merged))
+    asked = F.when((path == "") & (query == ""), b_query).otherwise(query)
+    own = F.when(authority != "", F.concat(b_scheme, authority, F.when(path.contains("/."), _without_dots(path)).otherwise(path), query, fragment))
+    relative = own.otherwise(F.concat(b_scheme, b_authority, whole, asked, fragment))
+    absolute = (scheme != "") & ((F.lower(scheme) != F.lower(b_scheme)) | (authority != ""))
+    usable = base.isNotNull() & (b_scheme != "") & (b_authority != "")
+    return F.when(absolute | ~usable, url).otherwise(relative)
+
+
 def rewrite(url: Column, rules: list[tuple[str, str]]) -> Column:
     """Applies (pattern, replacement) rules one after the other; ``$1`` and ``${name}`` refer to groups."""
     for pattern, to in rules:
@@ -69,9 +108,9 @@ def pick_srcset(srcset: Column, policy: str = "first-srcset") -> Column:
     return F.coalesce(F.array_max(F.transform(items, lambda c, i: F.struct(weight(c).alias("w"), i.alias("i"), F.substring_index(c, " ", 1).alias("u"))))["u"], F.lit(""))
 
 
-def rewrite_url(url: Column, rules: list[tuple[str, str]] = (), strip: bool = True, tracking: tuple[str, ...] = (), blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ()) -> Column:
-    """The chain for absolute URLs as a column: scheme, rules, tracking parameters. A blocked scheme gives an empty text."""
-    kept = rewrite(url, list(rules))
+def rewrite_url(url: Column, rules: list[tuple[str, str]] = (), strip: bool = True, tracking: tuple[str, ...] = (), blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = (), base: Column | None = None) -> Column:
+    """The whole chain as a column: scheme, base, rules, tracking parameters. A blocked scheme gives an empty text."""
+    kept = rewrite(url if base is None else resolve(url, base), list(rules))
     kept = strip_tracking(kept, tracking) if strip else kept
     return F.when(block_scheme(url, blocked, allowed) == "", F.lit("")).otherwise(kept)
 

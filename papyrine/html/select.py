@@ -60,13 +60,21 @@ def _chain(css: str) -> tuple:
     return tuple(reversed([*steps, (join, tuple(tests))]))
 
 
-def _nth(spec: str, i: int) -> bool:
+def nth_terms(spec: str) -> tuple[int, int] | None:
+    """(a, b) of an+b, null where it is none."""
     spec = {"odd": "2n+1", "even": "2n"}.get(spec.strip().lower(), spec.replace(" ", "").lower())
     m = re.fullmatch(r"(?:([+-]?\d*)n)?([+-]?\d+)?", spec)
     if not m:
-        return False
+        return None
     a = 0 if m[1] is None else int(m[1] + "1" if m[1] in ("", "+", "-") else m[1])
-    b = int(m[2] or 0)
+    return a, int(m[2] or 0)
+
+
+def _nth(spec: str, i: int) -> bool:
+    terms = nth_terms(spec)
+    if terms is None:
+        return False
+    a, b = terms
     return i == b if not a else (i - b) % a == 0 and (i - b) // a >= 0
 
 

@@ -11,6 +11,10 @@ from papyrine.convert import clean_table, convert_table, dom_nodes, headings, li
 from papyrine.functions import code, text, url
 from papyrine.options import PROFILES, Options
 from papyrine.plans import batch
+from papyrine.plans import nodes as tree
+from papyrine.sources.pages import read_pages
+from papyrine.sources.sink import save_files
+from papyrine.sources.store import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,7 +61,7 @@ def url_strip_tracking(spark, sf_dir):
 
 @query("select lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as host, count(*) as pages from pages group by 1")
 def pages_per_host(spark, sf_dir):
-    return _pages(spark, sf_dir).groupBy(url.host(url.strip_tracking(F.col("url"))).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+    return _pages(spark, sf_dir).groupBy(url.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 _SCHEMES = "case page_id % 4 when 0 then 'javascript:' || url when 1 then ' DATA:' || url when 2 then 'mailto:' || url else url end"
@@ -189,6 +193,23 @@ def manifest_counts(spark, sf_dir):
     return batch.manifest(batch.records(_jobs(spark, sf_dir), _previous(spark, sf_dir), "skip-existing"))
 
 
+# -- files: pages are written as files through the sink and come back through the source
+@query("select page_id, strlen(html) as n_bytes, sha256(html) as html_sha256, true as decoded from pages")
+def page_files(spark, sf_dir):
+    root = shared_folder(spark, "pages")
+    save_files(_pages(spark, sf_dir).select(F.expr("page_id % 100 || '/' || page_id || '.html'").alias("output_path"), F.col("html").alias("markdown")), root)
+    back = read_pages(spark, root, recursive=True)
+    return back.select(F.regexp_extract("path", r"(\d+)[.]html$", 1).cast("long").alias("page_id"), F.col("size").alias("n_bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("html_sha256"), F.col("error").isNull().alias("decoded"))
+
+
+@query("select page_id::varchar as input, 'md/' || page_id || '.md' as output, sha256(html) as input_hash, false as skipped, null::varchar as error from pages")
+def conversion_manifest(spark, sf_dir):
+    """Pages converted and written as files; the manifest's records."""
+    done = convert_table(_spread(_pages(spark, sf_dir)).withColumn("input_hash", F.sha2(F.col("html").cast("binary"), 256)))
+    rows = done.select(F.col("page_id").cast("string").alias("input_path"), F.expr("'md/' || page_id || '.md'").alias("output_path"), "input_hash", "result.markdown", "result.title", "result.description", "result.canonical_url", "result.diagnostics", "result.error")
+    return save_files(rows, shared_folder(spark, "markdown")).select("input", "output", "input_hash", "skipped", "error")
+
+
 # -- trees
 _REFS = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
 
@@ -227,6 +248,77 @@ def tag_counts(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id").join(nodes, "page_id", "left").select("page_id", F.coalesce("p", zero).alias("paragraphs"), F.coalesce("li", zero).alias("items"))
 
 
+_NAV = "regexp_extract(html, '<nav>(.*?)</nav>', 1, 's')"
+_LINKS = "regexp_extract_all({}, '<a href=\"([^\"]*)\">([^<]*)</a>', {})"
+
+
+@query(f"""select page_id, len(regexp_extract_all({_NAV}, '<a href='))::bigint as nav_links, len(regexp_extract_all({_NAV}, '<li>'))::bigint - len(regexp_extract_all({_NAV}, '<ul>'))::bigint as later_items,
+  len(regexp_extract_all(html, '</div><article><h1>'))::bigint as titles, len(regexp_extract_all(html, '<br>'))::bigint as breaks from pages""")
+def select_nodes(spark, sf_dir):
+    css = {"nav_links": "nav > ul > li > a[href]", "later_items": "nav li:not(:first-child)", "titles": "div.ad + article > h1", "breaks": "article br, article ~ br"}
+    found = tree.flag_all(dom_nodes(_spread(_pages(spark, sf_dir)), "page_id"), "page_id", css)
+    return found.groupBy("page_id").agg(*[F.count_if(n).alias(n) for n in css])
+
+
+_ARTICLE = _REFS.format("regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', '', 'g')")
+
+
+@query(f"select page_id, length({_ARTICLE})::bigint as n_chars from pages")
+def removed_nodes(spark, sf_dir):
+    """How much text is left without what isn't the article."""
+    left = tree.remove_nodes(dom_nodes(_spread(_pages(spark, sf_dir)), "page_id"), "page_id", "head, nav, body > .ad, footer")
+    return left.groupBy("page_id").agg(F.coalesce(F.sum(F.when(F.col("tag").isNull(), F.length("text"))), F.lit(0)).cast("long").alias("n_chars"))
+
+
+@query(f"select page_id, len(regexp_extract_all({_NAV}, '<li>'))::bigint as n_subtrees, 3 * len(regexp_extract_all({_NAV}, '<li>'))::bigint as n_nodes from pages")
+def pruned_nodes(spark, sf_dir):
+    """What a depth limit of 4 takes from the pages' navigation, counted by page."""
+    nav = tree.keep_only(dom_nodes(_spread(_pages(spark, sf_dir)), "page_id"), "page_id", "nav")
+    return tree.pruned_subtrees(nav, "page_id", 4).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_subtrees"), F.sum("n_nodes").alias("n_nodes"))
+
+
+# Pages have neither tables nor forms; these are made of their links.
+_TABLE = "concat('<table>', array_join(transform(l, (x, i) -> concat('<tr>', if(i % 3 = 0, concat('<th rowspan=3>', i, '</th>'), ''), '<td>', x, '</td><td colspan=', i % 2 + 1, '>z</td><td>', i, '</td></tr>')), ''), '</table>')"
+_FORM = "concat('<form>', array_join(transform(l, (x, i) -> concat('<div><label for=\"c', i, '\"> ', x, '</label></div><p><input id=\"c', i, '\"></p>')), ''), '</form>')"
+
+
+def _made(spark, sf_dir, html: str) -> DataFrame:
+    pages = _spread(_pages(spark, sf_dir)).selectExpr("page_id", "regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2) l").selectExpr("page_id", f"{html} html")
+    return dom_nodes(pages, "page_id")
+
+
+@query(f"""select page_id, 0 as "table", i::int as "row", c.col::int as "column", c.w::int as colspan, c.h::int as rowspan, c.th as header, trim(regexp_replace(c.t, '[ \t\n]+', ' ', 'g')) as text, true as complex
+  from (select page_id, i, unnest([{{'col': 0, 'w': 1, 'h': 3, 'th': true, 't': i::varchar}}, {{'col': 1, 'w': 1, 'h': 1, 'th': false, 't': {_REFS.format("l[i + 1]")}}}, {{'col': 2, 'w': i % 2 + 1, 'h': 1, 'th': false, 't': 'z'}}, {{'col': 3 + i % 2, 'w': 1, 'h': 1, 'th': false, 't': i::varchar}}]) c
+    from (select page_id, l, unnest(range(len(l))) i from (select page_id, {_LINKS.format("html", 2)} l from pages))) where c.col > 0 or i % 3 = 0""")
+def table_grid(spark, sf_dir):
+    return tree.table_grid(_made(spark, sf_dir, _TABLE), "page_id")
+
+
+@query(f"select page_id, 'input' as tag, 'c' || i as control_id, trim({_REFS.format('l[i + 1]')}) as label from (select page_id, l, unnest(range(len(l))) i from (select page_id, {_LINKS.format('html', 2)} l from pages))")
+def form_labels(spark, sf_dir):
+    return tree.form_labels(_made(spark, sf_dir, _FORM), "page_id").drop("id")
+
+
+@query("""select page_id, case when m like '<a%' then 0 else 1 end::bigint as section, i + 1 as number, case when m like '<a%' then 'ref' else 'img' end as kind, regexp_extract(m, '"([^"]*)"', 1) as target, '' as title, m like '<a%' as inside
+  from (select page_id, l[i + 1] m, i from (select page_id, l, unnest(range(len(l))) i from (select page_id, regexp_extract_all(replace(html, '<br>', '<img src="i.png">'), '<a href="[^"]*"|<img src="[^"]*"') l from pages)))""")
+def page_references(spark, sf_dir):
+    """Pages with an image for each line break; ``inside``: whether a heading follows, before which the definition stands."""
+    pages = _spread(_pages(spark, sf_dir)).withColumn("html", F.expr("replace(html, '<br>', '<img src=\"i.png\">')"))
+    return tree.page_references(dom_nodes(pages, "page_id"), "page_id").withColumn("inside", F.col("place").isNotNull()).drop("place")
+
+
+_ORIGIN, _FOLDER = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)", "regexp_extract(url, '^([a-z]+://[^?#]*/)', 1)"
+
+
+@query(f"""select page_id, href, {_ORIGIN} || href as from_root, {_FOLDER} || substr(href, 2) as from_folder, {_FOLDER} || 'x' || href || '#f' as up from (select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) href from pages)""")
+def url_resolve(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    href = F.col("href")
+    rest = F.substring(href, F.lit(2), F.length(href))
+    found = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    return found.select("page_id", "href", url.resolve(href, F.col("url")).alias("from_root"), url.resolve(F.concat(F.lit("./"), rest), F.col("url")).alias("from_folder"), url.resolve(F.concat(F.lit("y/../x/z/.././"), rest, F.lit("#f")), F.col("url")).alias("up"))
+
+
 def _converted(profile: str) -> Query:
     def run(spark, sf_dir):
         done = convert_table(_spread(_pages(spark, sf_dir)), Options.of(profile))
