@@ -508,3 +508,27 @@ def test_nulls_and_repeats(spark):
     assert scan(odd).count() == 5
     assert licenses.scan_licenses(odd).count() == 5
     assert pack(odd, tok).toPandas().length.sum() > 0
+
+
+def test_substrings_of_repeated_ids(spark):
+    r = random.Random(8)
+    a, b, c = ("".join(r.choices("abcdefghij ", k=k)) for k in (300, 150, 240))
+    rows = [(None, a + "-" + a), (None, "short"), (None, b), (5, a[50:] + b), (5, "qqq"), (5, c), (5, c), (7, c + c[:120]), (7, None), (7, b + "x" + c), (9, "")]
+    want = []
+    # Null ids first; texts of one id by the hash that the docstring names; rows of one id and text once.
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {x.t: x.h for x in df.selectExpr("coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").distinct().collect()}
+    seen, result = set(), {}
+    for i, t in sorted({(-1 if i is None else i, t or "") for i, t in rows}, key=lambda x: (x[0], hashed[x[1]] if sum((-1 if i is None else i) == x[0] for i, _ in rows) > 1 else 0)):
+        data = t.encode()
+        gone = np.zeros(len(data) + 2, int)
+        for s in range(len(data) - 99):
+            if data[s : s + 100] in seen:
+                gone[s + 1 : s + 101] = 1
+            seen.add(data[s : s + 100])
+        kept = bytes(x for x, g in zip(data, gone[1:]) if not g)
+        result[i, t] = (len(data), int(gone.sum()), int((np.diff(gone) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    want = sorted((-1 if i is None else i, *result[-1 if i is None else i, t or ""]) for i, t in rows)
+    got = substring_dedup(df.repartition(3), Scratch(spark, "t")).collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, *x[1:]) for x in got) == want
+    assert all(x.n_removed <= x.n_bytes for x in got) and sum(x.n_removed > 0 for x in got) >= 5
