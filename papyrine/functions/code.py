@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,14 +42,21 @@ LANGUAGES = (
     (r"^\s*\{\s*\}\s*$", "json"),
     (r"^\s*<\w+[^>]*>", "html"),
 )
+#: What a text must hold for a pattern to match, in the patterns' order; one of several where there are more.
+LITERALS = (
+    ("<?php",), ("#!",), ("#!",), ("#!",), ("#!",), ("#!",), ("#!",), ("#!",), ("#!",), ("<!DOCTYPE",), ("<?xml",), ("<html",), ("package",), ("func",), ("fn",), ("pub",),
+    ("std::", ".hpp"), ("#include",), ("def",), ("System.out",), ("console.log(",), ("document.",), ("SELECT",), ("$(",), ("echo",), ("using",), ("@import",), ("{",), ("[",), ("{",), ("<",),
+)
 _COMPILED = [(re.compile(p, re.M), name) for p, name in LANGUAGES]
 
 
 def detect_language(x: Column) -> Column:
-    """The language, null where no pattern tells."""
+    """The language, null where no pattern tells. A text is scanned by a pattern only if it holds the pattern's literal,
+    which is a plain search of its bytes."""
     out = F
-    for pattern, name in LANGUAGES:
-        out = out.when(x.rlike(f"(?mdU){pattern}"), name)
+    for (pattern, name), literals in zip(LANGUAGES, LITERALS, strict=True):
+        held = reduce(lambda a, b: a | b, [x.contains(t) for t in literals])
+        out = out.when(held & x.rlike(f"(?mdU){pattern}"), name)
     return out
 
 

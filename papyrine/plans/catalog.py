@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from papyrine.convert import clean_table, convert_table, dom_nodes, headings, links, metadata_table
 from papyrine.functions import code, text, url
 from papyrine.options import PROFILES, Options
-from papyrine.plans import batch
+from papyrine.plans import batch, diff, incremental
 from papyrine.plans import nodes as tree
 from papyrine.sources.pages import read_pages
 from papyrine.sources.sink import save_files
@@ -42,8 +43,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _spread(pages: DataFrame) -> DataFrame:
     """Pages dealt over all cores where they scan as fewer partitions than there are cores: a small file is one
     partition, and parsing is what takes time. Larger inputs aren't shuffled."""
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    spark = pages.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # What the scan reads by the optimizer's estimate, against what its tasks would get at most.
+    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return pages.repartition(cores) if size < cores * (32 << 20) and len(pages.inputFiles()) < cores else pages
 
 
 # -- URLs
@@ -193,6 +197,32 @@ def manifest_counts(spark, sf_dir):
     return batch.manifest(batch.records(_jobs(spark, sf_dir), _previous(spark, sf_dir), "skip-existing"))
 
 
+@query("""select page_id, sha256(case when page_id % 5 = 0 then html || '<p>new' else html end) as input_hash, page_id % 5 = 0 as converted, page_id % 5 = 0 as changed, null::varchar as error from pages where page_id % 7 <> 3""")
+def incremental_manifest(spark, sf_dir):
+    """Two runs over the pages: all of them, then some less and some that have changed."""
+    name = f"papyrine_{uuid.uuid4().hex}"
+    buckets = max(8, spark.sparkContext.defaultParallelism)
+    pages = _pages(spark, sf_dir).select("page_id", "html")
+    incremental.save_bucketed(pages, f"{name}_p1", "page_id", buckets)
+    incremental.next_manifest(spark, f"{name}_p1", None, f"{name}_m1", "page_id", buckets)
+    later = spark.table(f"{name}_p1").filter("page_id % 7 <> 3").withColumn("html", F.expr("case when page_id % 5 = 0 then html || '<p>new' else html end"))
+    incremental.save_bucketed(later, f"{name}_p2", "page_id", buckets)
+    out = incremental.next_manifest(spark, f"{name}_p2", f"{name}_m1", f"{name}_m2", "page_id", buckets)
+    for t in ("p1", "p2", "m1", "m1_outputs", "m2_outputs"):
+        spark.sql(f"drop table {name}_{t}")
+    return out.select("page_id", "input_hash", "converted", "changed", "error")
+
+
+@query("""select doc_id::varchar as path, s.line as line, s.sign as sign, s.t as text from (select doc_id, unnest([{'line': k, 'sign': '-', 't': l[k + 1]}, {'line': k, 'sign': '+', 't': l[k + 1] || '!'}]) s
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) l, len(string_split(coalesce(text, ''), chr(10))) // 2 k from documents))""")
+def line_changes(spark, sf_dir):
+    """Documents in which the middle line changes."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("old"), lines.alias("l"))
+    changed = F.transform("l", lambda x, i: F.when(i == F.floor(F.size("l") / 2), F.concat(x, F.lit("!"))).otherwise(x))
+    return diff.line_changes(docs.select("path", "old", F.array_join(changed, "\n").alias("new")))
+
+
 # -- files: pages are written as files through the sink and come back through the source
 @query("select page_id, strlen(html) as n_bytes, sha256(html) as html_sha256, true as decoded from pages")
 def page_files(spark, sf_dir):
@@ -242,10 +272,9 @@ def cleaned_pages(spark, sf_dir):
 
 @query("select page_id, len(regexp_extract_all(html, '<p>'))::bigint as paragraphs, len(regexp_extract_all(html, '<li>'))::bigint as items from pages")
 def tag_counts(spark, sf_dir):
-    pages = _spread(_pages(spark, sf_dir))
-    nodes = dom_nodes(pages, "page_id", tags=("p", "li")).groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("p"), F.count_if(F.col("tag") == "li").alias("li"))
-    zero = F.lit(0).cast("long")
-    return _pages(spark, sf_dir).select("page_id").join(nodes, "page_id", "left").select("page_id", F.coalesce("p", zero).alias("paragraphs"), F.coalesce("li", zero).alias("items"))
+    # Each page has an html element, so each has a row without a join.
+    nodes = dom_nodes(_spread(_pages(spark, sf_dir)), "page_id", tags=("p", "li", "html"))
+    return nodes.groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "li").alias("items"))
 
 
 _NAV = "regexp_extract(html, '<nav>(.*?)</nav>', 1, 's')"

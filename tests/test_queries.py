@@ -129,3 +129,18 @@ def test_column_twins(spark):
         got = spark.createDataFrame(list(enumerate(sets)), "i int, x string").select("i", url.pick_srcset(F.col("x"), policy).alias("y")).collect()
         wrong = [(sets[x.i], x.y, url.pick_srcset_py(sets[x.i], policy)) for x in got if x.y != url.pick_srcset_py(sets[x.i], policy)]
         assert not wrong, wrong[:3]
+
+
+def test_language_twin(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from papyrine.functions import code
+
+    r = random.Random(9)
+    bits = ["<?php", "#!", "/usr/bin/env python3", " /bin/sh", "/usr/bin/python", "<!DOCTYPE html", "<?xml", "<html", "package main", "func f(", "fn g (", "pub fn h(", "std::", "#include <a.hpp>", '#include "a"', "def f(", "class A {", "System.out", "console.log(", "document.x", "SELECT * FROM t", "$(", "echo x", "using System", "@import y", "{ 'a", '[ "', "{ }", "<p>", "word", " ", "  ", "\n", "\n", "\t", ";"]
+    made = ["".join(r.choices(bits, k=r.randrange(1, 9))) for _ in range(3000)]
+    got = spark.createDataFrame(list(enumerate(made)), "i int, x string").select("i", code.detect_language(F.col("x")).alias("y")).collect()
+    assert [(made[x.i], x.y) for x in got if x.y != code.detect_language_py(made[x.i])] == []
+    assert len({x.y for x in got}) > 15
