@@ -531,4 +531,4 @@ def test_substrings_of_repeated_ids(spark):
     want = sorted((-1 if i is None else i, *result[-1 if i is None else i, t or ""]) for i, t in rows)
     got = substring_dedup(df.repartition(3), Scratch(spark, "t")).collect()
     assert sorted((-1 if x.doc_id is None else x.doc_id, *x[1:]) for x in got) == want
-    assert all(x.n_removed <= x.n_bytes for x in got) and sum(x.n_removed > 0 for x in got) >= 5
+    assert all(x.n_removed <= x.n_bytes for x in got) and sum(x.n_removed > 0 for x in got) >= 4
