@@ -8,8 +8,11 @@ are skipped. Pairs of a list are counted on whole signatures, those with enough
 No list is expanded into all of its pairs: each is first compared with its most central document, and what that links is
 one component and needs no further pairs. Documents of lists that still have several components are posted once more,
 under the rarest quarter of their whole shingle sets; there a document takes part only where the number of its shingles
-that others have allows a link at all, and after a second turn with centres, pairs of different components whose sizes
-and places in both prefixes allow a link are compared, without any cap. Both prefixes are exact, so no pair is lost.
+that others have allows a link at all. After a second turn with centres, pairs of different components whose sizes and
+places in both prefixes allow a link are compared where a list is short. A longer list is dealt in blocks, and a task merges
+the posting lists of two blocks' whole sets, counts what documents have in common and hands on the links of a forest alone:
+so what is emitted grows with the documents, not with their pairs. Nothing is capped and both prefixes are exact, so no pair
+is lost.
 Documents with equal shingle sets are one class from the start, and only its smallest id takes part.
 """
 
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import Scratch, slices
+from papyrine.llm.common import Scratch, joined_by_share, slices
 from papyrine.llm.components import components
 from papyrine.llm.shingles import mix, shingle_sets
 
@@ -29,6 +32,8 @@ from papyrine.llm.shingles import mix, shingle_sets
 COORDINATES, MATCHES = 64, 28
 #: A class with more than one in HOT of all rows is joined by broadcast: there are fewer than HOT such classes.
 HOT = 1000
+#: Documents of a list that is compared by pairs, and of a block of a longer list.
+FEW, BLOCK = 8, 256
 #: A link is at least this many hundredths of shared shingles.
 PERCENT = 75
 
@@ -83,6 +88,45 @@ def _set_lists(sets: DataFrame) -> DataFrame:
     return posted.select(F.col("e.shingle").alias("shingle"), "doc_id", "label", "n_shingles", "central", (F.col("shared") - F.col("at")).alias("left"))
 
 
+def _meet(key, group: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between a list's two blocks (side 0 and 1), or within one block (side 0 alone), across components: a
+    forest of them. Shingles that all documents of a side have are counted once for all."""
+    own = group["side"].to_numpy() == 0
+    same = bool(own.all())
+    doc, label, n = (group[c].to_numpy(np.int64) for c in ("doc_id", "label", "n_shingles"))
+    token = np.unique(np.concatenate(group["shingles"].to_list()), return_inverse=True)[1]
+    sets = np.split(token, np.cumsum(n)[:-1])
+    left, right = np.flatnonzero(own), np.flatnonzero(own if same else ~own)
+    # Posting lists of the right side: places in ``right`` in order of their shingles.
+    flat, place = np.concatenate([sets[r] for r in right]), np.repeat(np.arange(len(right)), n[right])
+    order = np.argsort(flat, kind="stable")
+    flat, place = flat[order], place[order]
+    start = np.searchsorted(flat, np.arange(int(token.max()) + 2))
+    size = np.diff(start)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    out = []
+    for at, a in enumerate(left):
+        mine = sets[a]
+        everywhere = size[mine] == len(right)
+        lists = [place[start[t] : start[t + 1]] for t in mine[~everywhere].tolist()]
+        common = int(everywhere.sum()) + (np.bincount(np.concatenate(lists), minlength=len(right)) if lists else np.zeros(len(right), np.int64))
+        linked = (100 * common >= PERCENT * (n[a] + n[right] - common)) & (label[right] != label[a])
+        if same:
+            linked[: at + 1] = False
+        for b in right[linked]:
+            x, y = find(int(label[a])), find(int(label[b]))
+            if x != y:
+                root[x] = y
+                out.append((doc[a], doc[b]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
 def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -154,11 +198,20 @@ def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     more = confirmed(centred(rest, "shingle"), "open-centre")
     links = scratch.table(links.unionAll(more), "links")
     rest = scratch.table(met(labelled(rest, links, "open-centre")), "last")
-    # What is left is compared across components, by pairs that size and place in both sets allow.
-    one = rest.select("shingle", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("left").alias("xa"))
-    two = rest.select("shingle", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("left").alias("xb"))
+    # What is left is compared across components: short lists by pairs that size and place in both sets allow.
+    sizes = scratch.table(rest.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    rest = scratch.table(joined_by_share(rest, sizes, ["shingle"], "m"), "sized")
+    few = rest.filter(F.col("m") <= FEW)
+    one = few.select("shingle", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("left").alias("xa"))
+    two = few.select("shingle", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("left").alias("xb"))
     fits = f"a < b and la <> lb and least(xa, xb) * {100 + PERCENT} >= {PERCENT} * (na + nb) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
     links = links.unionAll(confirmed(one.join(two, "shingle").filter(fits).select("a", "b"), "cross"))
+    # Longer ones by blocks of about BLOCK documents: each goes where its block meets another, or itself.
+    blocks = F.ceil(F.col("m") / BLOCK)
+    many = rest.filter(F.col("m") > FEW).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).join(sets.select("doc_id", "shingles"), "doc_id")
+    many = many.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    many = many.select("shingle", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), (F.col("block") > F.col("k")).cast("int").alias("side"), "doc_id", "label", F.size("shingles").cast("long").alias("n_shingles"), "shingles")
+    links = links.unionAll(scratch.table(many.groupBy("shingle", "i", "j").applyInPandas(_meet, "a long, b long"), "met"))
     found = components(links, scratch, "all").select(F.col("node").alias("rep"), "component")
 
     # A class of very many copies goes to all tasks, as fewer than HOT classes can have that share of the rows.
