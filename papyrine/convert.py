@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -14,6 +15,8 @@ from papyrine.html.dom import HEADINGS, Node, parse, serialize
 from papyrine.html.render import Renderer, mdx, plain_text, post_process, yaml_block
 from papyrine.options import Options
 
+#: Levels that are rendered where no limit of depth is set; deeper documents have an error.
+DEEP = 10_000
 META = "title string, description string, canonical_url string, og_title string, og_description string, og_image string, twitter_title string, twitter_description string"
 SCHEMA = f"markdown string, {META}, diagnostics array<struct<kind:string,message:string,rule:string>>, error string"
 
@@ -34,9 +37,11 @@ class NativeBackend:
 def convert(html: str, o: Options | None = None, backend: Backend | None = None) -> dict:
     """Markdown, metadata and diagnostics of an HTML text; strict options raise on a limit."""
     o = o or Options()
+    # Rendering takes a few calls for each level; Python's own calls need no more than memory.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * (o.max_dom_depth or DEEP) + 1000))
     root = parse(html)
     found = bad_selectors(o) + check_limits(root, o, len(html.encode("utf-8", "surrogatepass")))
-    meta = metadata(root)
+    meta = {k: v if o.metadata is None or k in o.metadata else None for k, v in metadata(root).items()}
     clean(root, o)
     s = post_process((backend or NativeBackend()).render(root, o), o)
     if o.profile == "plain-text":
@@ -89,14 +94,22 @@ def convert_table(docs: DataFrame, o: Options | None = None, html: str = "html",
     return docs.withColumn("result", run.asNondeterministic()(F.col(html))).drop(html)
 
 
+def _tried(f, otherwise):
+    """One document must not fail the others: what it trips over gives ``otherwise``."""
+    try:
+        return f()
+    except Exception:
+        return otherwise
+
+
 def metadata_table(docs: DataFrame, html: str = "html") -> DataFrame:
     """``docs`` with a column ``meta`` (the eight metadata fields) in place of its HTML; parsed, neither cleaned nor rendered."""
 
     @F.pandas_udf(META)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [metadata(parse(x or "")) for x in batch]
-            yield pd.DataFrame({n: pd.Series([r[n] for r in done], dtype=object) for n in (f.split()[0] for f in META.split(", "))})
+            done = [_tried(lambda x=x: metadata(parse(x or "")), {}) for x in batch]
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in done], dtype=object) for n in (f.split()[0] for f in META.split(", "))})
 
     return docs.withColumn("meta", run.asNondeterministic()(F.col(html))).drop(html)
 
@@ -125,7 +138,7 @@ def _found(docs: DataFrame, key: str, html: str, rows, schema: str) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            out = [(k, *r) for k, h in zip(batch[key], batch[html], strict=True) for r in rows(parse(h or ""))]
+            out = [(k, *r) for k, h in zip(batch[key], batch[html], strict=True) for r in _tried(lambda h=h: rows(parse(h or "")), [])]
             yield pd.DataFrame(out, columns=[key, *names])
 
     return docs.select(key, html).mapInPandas(run, f"{key} {kind}, {schema}")
@@ -207,15 +220,9 @@ def dom_nodes(docs: DataFrame, key: str, html: str = "html", tags: tuple[str, ..
     wanted = None if tags is None else frozenset(tags)
     kind = docs.schema[key].dataType.simpleString()
 
-    def rows_of(html):
-        try:
-            return node_rows(html, wanted)
-        except Exception:  # one document must not fail the others
-            return []
-
     def run(batches):
         for batch in batches:
-            rows = [(k, *r[:5], [{"name": a, "value": v} for a, v in r[5]], *r[6:]) for k, h in zip(batch[key], batch[html], strict=True) for r in rows_of(h)]
+            rows = [(k, *r[:5], [{"name": a, "value": v} for a, v in r[5]], *r[6:]) for k, h in zip(batch[key], batch[html], strict=True) for r in _tried(lambda h=h: node_rows(h, wanted), [])]
             yield pd.DataFrame(rows, columns=[key, *(f.split()[0] for f in NODE.replace("struct<name:string,value:string>", "x").split(", "))])
 
     return docs.select(key, html).mapInPandas(run, f"{key} {kind}, {NODE}")

@@ -29,13 +29,16 @@ class LimitError(ValueError):
 def metadata(root: Node) -> dict[str, str | None]:
     """Eight fields of the document as it came, each from the first element that has it."""
     out: dict[str, str | None] = {"title": None, **{m[0]: None for m in META}}
+    seen: set[str] = set()
     for n in root.elements():
         if n.tag == "title" and out["title"] is None:
             out["title"] = n.inner_text().strip()
         elif n.tag in ("meta", "link"):
             for name, tag, key, want, read in META:
-                if out[name] is None and n.tag == tag and n.attrs.get(key) == want and read in n.attrs:
-                    out[name] = n.attrs[read]
+                # The first element of its kind decides, whether it has a value or not.
+                if name not in seen and n.tag == tag and n.attrs.get(key) == want:
+                    seen.add(name)
+                    out[name] = n.attrs[read].strip() if read in n.attrs else None
     return out
 
 

@@ -39,6 +39,11 @@ CHOICES = {
     "math_output": ("preserve-html", "inline-dollar", "block-dollar", "fenced", "plain"),
     "mermaid": ("fenced", "preserve-html", "drop"),
 }
+#: Metadata fields, by the names that settings have for them.
+METADATA = {
+    "title": "title", "description": "description", "canonical_url": "canonical_url", "open_graph_title": "og_title", "open_graph_description": "og_description",
+    "open_graph_image": "og_image", "twitter_title": "twitter_title", "twitter_description": "twitter_description",
+}
 ACTIONS = ("drop", "unwrap", "text", "html", "markdown-template", "fenced", "link", "image")
 
 
@@ -104,6 +109,8 @@ class Options:
     max_dom_depth: int = 256
     max_node_count: int = 0
     max_attribute_len: int = 0
+    #: Metadata fields that a result has, and frontmatter with it; None: all.
+    metadata: tuple[str, ...] | None = None
     explicit: frozenset[str] = field(default=frozenset(), compare=False)
 
     @classmethod
@@ -141,6 +148,9 @@ class Options:
                 raise ConfigError(f"pattern {pattern!r}: {e}") from e
         if self.base_url is not None and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", self.base_url):
             raise ConfigError(f"base_url {self.base_url!r} isn't absolute")
+        for name in self.metadata or ():
+            if name not in METADATA.values():
+                raise ConfigError(f"metadata field {name!r}")
         for rule in self.custom_rules:
             if rule[1] not in ACTIONS:
                 raise ConfigError(f"rule action {rule[1]!r}")
@@ -153,6 +163,8 @@ def _flat(data: dict[str, Any], out: dict[str, Any]) -> dict[str, Any]:
         name = {"bullet": "bullet_marker", "br_style": "hard_break_style", "skip_tags": "remove_tags"}.get(key.replace("-", "_"), key.replace("-", "_"))
         if name == "math" and isinstance(v, dict):
             out |= {f"math_{k.replace('-', '_')}": x for k, x in v.items() if f"math_{k}" in names}
+        elif name == "metadata" and isinstance(v, dict):
+            out[name] = tuple(field for k, field in METADATA.items() if v.get(k) or v.get(k.replace("_", "-")))
         elif name == "per_tag_behavior" and isinstance(v, dict):
             out[name] = tuple(v.items())
         elif name == "url_rewrite_rules":
@@ -172,13 +184,30 @@ def discover(home: str | None = None, here: str = ".") -> list[str]:
     return [p for p in (os.path.join(home, "papyrine", "config.toml"), os.path.join(here, ".papyrine.toml")) if os.path.isfile(p)]
 
 
-def show(o: Options | None = None) -> str:
-    """Options (the defaults without any) as JSON that load_options reads."""
+def show(o: Options | None = None, form: str = "json") -> str:
+    """Options (the defaults without any) as JSON or TOML that load_options reads."""
     data = dataclasses.asdict(o or Options())
     data.pop("explicit")
     data["custom_rules"] = [{"selectors": r[0], "action": r[1], "template": r[2], "priority": r[3]} for r in data["custom_rules"]]
     data["per_tag_behavior"] = dict(data["per_tag_behavior"])
-    return json.dumps(data, indent=2)
+    if form == "json":
+        return json.dumps(data, indent=2)
+    # What isn't set has no line in TOML; tables come after plain values.
+    plain = {k: v for k, v in data.items() if v is not None and not isinstance(v, dict)}
+    lines = [f"{k.replace('_', '-')} = {_toml(v)}" for k, v in plain.items()]
+    for k, v in data.items():
+        if isinstance(v, dict) and v:
+            lines += ["", f"[{k.replace('_', '-')}]", *(f"{json.dumps(x)} = {_toml(y)}" for x, y in v.items())]
+    return "\n".join(lines) + "\n"
+
+
+def _toml(v: Any) -> str:
+    if isinstance(v, (list, tuple)):
+        return f"[{', '.join(map(_toml, v))}]"
+    if isinstance(v, dict):
+        return "{ " + ", ".join(f"{k} = {_toml(x)}" for k, x in v.items()) + " }"
+    # JSON's strings, numbers and booleans are TOML's too.
+    return json.dumps(v)
 
 
 def load_options(*files: str, env: dict[str, str] | None = None, **flags: Any) -> Options:

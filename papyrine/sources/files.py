@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.plans import batch
+from papyrine.sources.store import codec, decoded
 
 _WILD = re.compile(r"[*?\[]")
 _HTML = r"(?i)[.]html?$"
@@ -75,33 +76,30 @@ def read_html(spark: SparkSession, *paths: str, recursive: bool = False, encodin
     df = parts[0]
     for more in parts[1:]:
         df = df.unionByName(more)
-    text = decode(F.col("content"), encoding)
-    error = F.when(text.isNull() & F.col("content").isNotNull(), F.lit("could not decode: invalid byte sequence"))
-    return df.select("path", "base", text.alias("html"), error.alias("error"), F.col("modificationTime").alias("modified"))
+    out = df.withColumn("__text", decode(F.col("content"), encoding))
+    return out.select("path", "base", "__text.html", "__text.error", F.col("modificationTime").alias("modified"))
 
 
 def decode(content: Column, encoding: str | None = None) -> Column:
-    """Text of bytes: by the given encoding, else by a byte-order mark, else UTF-8; null where the bytes aren't that."""
+    """(html, error) of bytes: by a byte-order mark, else the given encoding, else UTF-8. Bytes that aren't that have an error
+    and no html, whatever the encoding is; an unknown encoding is refused outright."""
     if encoding:
-        return F.try_validate_utf8(F.decode(content, encoding)) if encoding.lower().replace("-", "") != "utf8" else F.try_validate_utf8(content.cast("string"))
-    start, size = F.hex(F.substring(content, 1, 3)), F.length(content)
+        codec(encoding)
 
-    def rest(n: int) -> Column:
-        return F.substring(content, F.lit(n), size)
+    @F.pandas_udf("html string, error string")
+    def run(part: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if raw is None else decoded(raw, encoding) for raw in part]
+        error = [wrong and f"could not decode as {wrong} (invalid byte sequence)" for _, wrong in rows]
+        return pd.DataFrame({"html": pd.Series([t for t, _ in rows], dtype=object), "error": pd.Series(error, dtype=object)})
 
-    return (
-        F.when(start == "EFBBBF", F.try_validate_utf8(rest(4).cast("string")))
-        .when(start.startswith("FFFE"), F.decode(rest(3), "UTF-16LE"))
-        .when(start.startswith("FEFF"), F.decode(rest(3), "UTF-16BE"))
-        .otherwise(F.try_validate_utf8(content.cast("string")))
-    )
+    return run(content)
 
 
 def read_stdin(spark: SparkSession, stream=None) -> DataFrame:
     """One document without a path, from standard input."""
     raw = (stream or sys.stdin.buffer).read()
     one = spark.createDataFrame([(None, bytearray(raw))], "path string, content binary")
-    return one.select("path", decode(F.col("content")).alias("html"))
+    return one.select("path", decode(F.col("content"))["html"].alias("html"))
 
 
 def write_stdout(done: DataFrame, column: str = "markdown", stream=None) -> int:

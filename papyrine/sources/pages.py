@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from papyrine.sources.files import _glob_regex, glob_base
-from papyrine.sources.store import File, codec, decoded, listed, packed, scheme, store
+from papyrine.sources.store import HTML, File, codec, decoded, listed, packed, scheme, store
 
 PAGE = "path string, base string, html string, error string, size long, modified timestamp"
 #: Bytes and files that a task reads at a time.
@@ -43,6 +43,7 @@ class _Pages:
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         self.recursive = options.get("recursive", "false").lower() == "true"
         self.encoding = options.get("encoding")
+        self.suffixes = tuple(options.get("suffixes", ",".join(HTML)).lower().split(","))
         self.target = int(options.get("partitionBytes", 32 << 20))
         if self.encoding:
             codec(self.encoding)
@@ -52,7 +53,7 @@ class _Pages:
         found = []
         for path in self.paths:
             at = scheme(path)
-            found += [f._replace(path=at + f.path, base=at + f.base) for f in listed(path, self.recursive, glob_base, _glob_regex)]
+            found += [f._replace(path=at + f.path, base=at + f.base) for f in listed(path, self.recursive, glob_base, _glob_regex, self.suffixes)]
         return found
 
     def pack(self, files: list[File]) -> list[Files]:
@@ -104,7 +105,8 @@ class PageStreamReader(_Pages, DataSourceStreamReader):
 
 
 class PageSource(DataSource):
-    """Options: path or paths, recursive, encoding, partitionBytes, settleSeconds (streams)."""
+    """Options: path or paths, recursive, encoding, suffixes (of files in folders, comma-separated), partitionBytes,
+    settleSeconds (streams)."""
 
     @classmethod
     def name(cls) -> str:

@@ -72,13 +72,12 @@ class File(NamedTuple):
     modified: int
 
 
-def _html(name: str) -> bool:
-    return name.lower().endswith((".html", ".htm"))
+HTML = (".html", ".htm")
 
 
-def listed(path: str, recursive: bool, glob_base, glob_regex) -> list[File]:
-    """The files that an input names: a file itself, a folder's .html and .htm files, what a glob matches (of a folder that
-    it matches, that folder's files). Folders that begin with ``_`` are the sinks' own and aren't searched."""
+def listed(path: str, recursive: bool, glob_base, glob_regex, suffixes: tuple[str, ...] = HTML) -> list[File]:
+    """The files that an input names: a file itself, a folder's files with one of the suffixes, what a glob matches (of a
+    folder that it matches, that folder's files). Folders that begin with ``_`` are the sinks' own and aren't searched."""
     files, inner = store(path)
 
     def entry(info: fs.FileInfo, base: str) -> File:
@@ -86,7 +85,7 @@ def listed(path: str, recursive: bool, glob_base, glob_regex) -> list[File]:
 
     def below(folder: str, deep: bool, base: str) -> list[File]:
         found = files.get_file_info(fs.FileSelector(folder, recursive=deep))
-        own = (x for x in found if x.is_file and _html(x.base_name))
+        own = (x for x in found if x.is_file and x.base_name.lower().endswith(suffixes))
         return [entry(x, base) for x in own if not re.search(r"(^|/)_", x.path[len(folder) :])]
 
     if re.search(r"[*?\[]", inner):
