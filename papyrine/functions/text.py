@@ -21,7 +21,8 @@ def trim_document(x: Column) -> Column:
 
 def trim_lines(x: Column) -> Column:
     """Trailing white space of every line goes; CRLF becomes LF, and a final line feed goes too."""
-    return F.regexp_replace(F.regexp_replace(x, r"(?U)[\s&&[^\n]]+(?=\n|\z)", ""), r"\n\z", "")
+    # A run is taken whole or not at all, so a blank between words costs one look ahead.
+    return F.regexp_replace(F.regexp_replace(x, f"[{SPACE.replace(chr(9) + '-' + chr(13), chr(9) + chr(11) + '-' + chr(13))}]++(?=\\n|\\z)", ""), r"\n\z", "")
 
 
 def final_newline(x: Column, policy: str = "ensure") -> Column:
@@ -103,6 +104,7 @@ MARKDOWN_STEPS = (
 #: Fixed value: Unicode's white space, for character classes.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_BLANKS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Escaped punctuation waits in the private-use area while markup is removed.
 HIDDEN = "".join(chr(0xE100 + ord(c)) for c in PUNCTUATION)
 
@@ -128,8 +130,10 @@ def strip_markdown(x: Column) -> Column:
 
     x = _where(x, "\\", hide)
     for (pattern, to), mark in zip(MARKDOWN_STEPS, _MARKS, strict=True):
-        flags = "(?Umd)" if pattern.startswith("(?m)") else "(?U)"
+        # Classes are Unicode's only where a pattern has one.
+        wide = "U" if "\\s" in pattern or "\\d" in pattern else ""
+        flags = f"(?{wide}md)" if pattern.startswith("(?m)") else f"(?{wide})" if wide else ""
         x = _where(x, mark, lambda v, p=flags + pattern.removeprefix("(?m)"), t=to: F.regexp_replace(v, p, t))
     x = F.translate(x, HIDDEN, PUNCTUATION)
-    x = F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+    x = F.btrim(x, F.lit(_BLANKS))
     return _where(x, "\n\n\n", lambda v: F.regexp_replace(v, r"\n{3,}", "\n\n"))
