@@ -99,8 +99,12 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(full, CLASH).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, item), (2, None), (None, "zz"), (1, item)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     spark.createDataFrame([(1, 0, None), (9, 1, 0), (None, 0, 1), (9, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    vectors = [(1, [0.5] * 32, 1, "x"), (1, [0.5] * 32, 1, "x"), (None, [-0.25] * 32, None, None), (2, None, 1, None), (3, [1.0, None] * 16, None, None), (4, [float("nan")] * 32, 2, None), (5, [], None, None), (6, [1.0] * 3, 2, None), (7, [1e30] * 32, 1, None), (None, None, None, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, code string").write.parquet(f"{at}/embeddings.parquet")
+    said = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 1, "assistant", "b"), (None, 0, "user", long), (2, 0, "assistant", ""), (3, 5, "", "[INST]"), (-7, 2, "user", "more"), (4, 0, None, None)]
+    spark.createDataFrame([(*x, "p", 1) for x in said], "conv_id long, turn long, role string, text string, piece string, n_turns int").write.parquet(f"{at}/conversations.parquet")
     none = str(tmp_path_factory.mktemp("none"))
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"{at}/{t}.parquet").limit(0).write.parquet(f"{none}/{t}.parquet")
     return at, none, rows
 
@@ -135,10 +139,24 @@ def test_queries_on_odd_rows(spark, odd):
         got = query(spark, at).toPandas()
         if name == "op6_packing":
             assert set(got.doc_id.dropna().astype(int)) == {i for i, _ in rows if i is not None}
+        elif name == "op12_vector_codes":
+            # Null vectors and those with null or NaN components go; others keep a row, without a code where they can't be compared.
+            assert sorted((int(i) if i == i and i is not None else -1, c is not None) for i, c in zip(got.vec_id.astype(object), got.code)) == [(-1, True), (1, True), (1, True), (5, False), (6, False), (7, False)]
+        elif name == "op13_chat_format":
+            assert sorted((int(i) if i == i and i is not None else -1, int(n)) for i, n in zip(got.conv_id.astype(object), got.n_turns)) == [(-7, 3), (-1, 2), (1, 3), (2, 1), (3, 1), (4, 1)]
         else:
             assert sorted(got.doc_id.fillna(-1).astype(int)) == sorted((i or -1) for i, _ in rows), name
-        assert query(spark, none).count() == 0, name
+        assert query(spark, none).count() == (name == "op13_chat_format"), name  # its own conversation is always there
     got = {r.doc_id: r for r in queries.op1_substring_dedup(spark, at).collect()}
     assert got[5].n_removed == 0 and got[6].n_removed > 600_000 and got[4].n_removed == 0
     got = {r.doc_id: r for r in queries.op10_exact_dedup(spark, at).collect()}
     assert got[4].keep_id == 5 and got[7].keep_id == 10 and got[7].group_size == 3
+    # Rows of one id and text, and those of one id and different texts, have their own values.
+    model = Encoder(tokenizer_file("byte_bpe_50k.json")).model
+    sizes = sorted((-1 if i is None else i, len(model.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_tokens) for x in queries.op2_token_records(spark, at).collect()) == sizes
+    tokens = sorted((-1 if x.doc_id is None else x.doc_id, x.n_a > 0, x.groups_sha256 != "") for x in queries.op11_tokenizer_alignment(spark, at).collect())
+    assert tokens == sorted((-1 if i is None else i, bool(t), bool(t)) for i, t in rows)
+    assert all(x.n_licenses == 0 for x in queries.op3_license_scan(spark, at).collect()) and all(x.spans == "" for x in queries.op8_secrets(spark, at).collect())
+    near = {(x.doc_id, x.component_id) for x in queries.op4_near_dedup(spark, at).collect()}
+    assert {(4, 4), (5, 4), (6, 4), (7, 7), (10, 7), (1, 1), (2, 2), (None, None)} <= near
