@@ -131,13 +131,20 @@ def clean_table(docs: DataFrame, o: Options | None = None, html: str = "html") -
     return docs.withColumn("cleaned", run(F.col(html))).drop(html)
 
 
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.DataFrame]:
+    """Batches a few documents at a time, as what is found in a document takes many times its room."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.iloc[a : a + rows]
+
+
 def _found(docs: DataFrame, key: str, html: str, rows, schema: str) -> DataFrame:
     """A row for each thing that ``rows`` finds in a document's tree, with the document's key."""
     kind = docs.schema[key].dataType.simpleString()
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             out = [(k, *r) for k, h in zip(batch[key], batch[html], strict=True) for r in _tried(lambda h=h: rows(parse(h or "")), [])]
             yield pd.DataFrame(out, columns=[key, *names])
 
@@ -221,7 +228,7 @@ def dom_nodes(docs: DataFrame, key: str, html: str = "html", tags: tuple[str, ..
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             rows = [(k, *r[:5], [{"name": a, "value": v} for a, v in r[5]], *r[6:]) for k, h in zip(batch[key], batch[html], strict=True) for r in _tried(lambda h=h: node_rows(h, wanted), [])]
             yield pd.DataFrame(rows, columns=[key, *(f.split()[0] for f in NODE.replace("struct<name:string,value:string>", "x").split(", "))])
 

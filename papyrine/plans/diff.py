@@ -1,6 +1,7 @@
 """Line differences of pairs of texts, as joins and windows over a table of lines.
 
-Lines that are equal at the edges of a stretch are matched first. Of what is left, a line that stands once in the old stretch
+Lines that are equal at the beginning or end of both texts are left out, before any row is dealt, and then at the edges of each
+stretch that is cut. Of what is left, a line that stands once in the old stretch
 and once in the new one is a candidate; the longest run of candidates that keeps both orders gives anchors, which cut the
 stretch into shorter ones, in which further lines are unique. Where none are, lines that repeat are paired by their first,
 second and further places in the stretch. This goes on until no stretch has an anchor more; what is left has gone or come.
@@ -86,10 +87,15 @@ def line_changes(texts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     spark = texts.sparkSession
     old, new = (F.coalesce(c, F.lit("")) for c in ("old", "new"))
-    changed = texts.filter(old != new).select("path", F.explode(F.array(F.struct(F.lit(True).alias("old"), F.split(old, "\n", -1).alias("l")), F.struct(F.lit(False).alias("old"), F.split(new, "\n", -1).alias("l")))).alias("s"))
-    lines = changed.select("path", "s.old", F.posexplode("s.l").alias("no", "text"))
-    lines = lines.select("path", "old", "no", "text", F.xxhash64("text").alias("hash"), F.lit(None).cast("int").alias("mate")).repartition("path")
-    lines = _edges(_edges(lines, False), True)
+    cut = texts.filter(old != new).select("path", F.split(old, "\n", -1).alias("a"), F.split(new, "\n", -1).alias("b"))
+    # Where both begin or end alike nothing needs to be looked at: the middles alone become rows, by a fold within the row.
+    unlike = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False)).cast("int") - 1
+    cut = cut.withColumn("head", unlike(F.col("a"), F.col("b")))
+    cut = cut.select("path", "head", *(F.slice(c, F.col("head") + 1, F.greatest(F.size(c) - F.col("head"), F.lit(0))).alias(c) for c in ("a", "b")))
+    cut = cut.withColumn("tail", unlike(F.reverse("a"), F.reverse("b")))
+    middle = [F.struct(F.lit(c == "a").alias("old"), F.slice(c, F.lit(1), F.size(c) - F.col("tail")).alias("l")) for c in ("a", "b")]
+    lines = cut.select("path", "head", F.explode(F.array(*middle)).alias("s")).select("path", "head", "s.old", F.posexplode("s.l").alias("at", "text"))
+    lines = lines.select("path", "old", (F.col("at") + F.col("head")).alias("no"), "text", F.xxhash64("text").alias("hash"), F.lit(None).cast("int").alias("mate"))
     root = shared_folder(spark, "lines")
 
     def written(df: DataFrame, k: int) -> DataFrame:

@@ -70,7 +70,7 @@ class _Sink:
         counts = {"files": 0, "changed": 0, "skipped": 0, "errors": 0}
         made, seen = {own}, set()
         with files.open_output_stream(f"{own}/{RECORDS}") as records:
-            for b in batches:
+            for b in (part for whole in batches for part in _parts(whole)):
                 for row in b.to_pylist():
                     record = self._one(files, root, own, row, made, seen)
                     counts["files"] += 1
@@ -185,6 +185,11 @@ class _Sink:
             files.delete_dir(top)
 
 
+def _parts(batch, rows: int = 256):
+    """A batch a few rows at a time, as Python's strings take room."""
+    return (batch.slice(a, rows) for a in range(0, batch.num_rows, rows))
+
+
 def _lines(stream):
     """Lines of a byte stream, a block at a time."""
     rest = b""
