@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,19 @@ def fold_nbsp(x: Column) -> Column:
     return F.translate(x, "\u00a0\u2007\u202f", "   ")
 
 
+def normalize(x: Column, form: str = "NFC") -> Column:
+    """Unicode normalisation (NFC, NFKC, NFD, NFKD); texts in ASCII don't leave the JVM. Arrow's own function doesn't compose
+    what it has decomposed, so Python's does the work, a batch at a time."""
+
+    @F.pandas_udf("string")
+    def run(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
+
+    # Texts that need nothing are null for the workers.
+    wide = x.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, run(F.when(wide, x))).otherwise(x)
+
+
 def yaml_quote(x: Column) -> Column:
     """A double-quoted YAML scalar."""
     steps = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))

@@ -121,9 +121,11 @@ _string("trim_lines", "replace(text, chr(10), '  ' || chr(9) || chr(13) || chr(1
 _string("final_newline_ensure", "case when doc_id % 2 = 0 then text || chr(10) else text end", text.final_newline, "case when ends_with(x, chr(10)) then x else x || chr(10) end")
 _string("final_newline_suppress", "text || chr(10) || chr(10)", lambda x: text.final_newline(x, "suppress"), r"regexp_replace(x, '\n+\z', '')")
 _string("fold_nbsp", "replace(text, ' ', chr(160))", text.fold_nbsp, "replace(x, chr(160), ' ')", spark_made="replace(text, ' ', decode(X'C2A0', 'UTF-8'))")
+_string("unicode_nfc", "replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776))", text.normalize, "nfc_normalize(x)", spark_made="replace(replace(text, 'é', 'e' || decode(X'CC81', 'UTF-8')), 'ü', 'u' || decode(X'CC88', 'UTF-8'))")
 _string("yaml_quote", "'a\"b' || chr(9) || chr(92) || text", text.yaml_quote, r"""'"' || replace(replace(replace(replace(replace(x, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"'""")
 _string("escape_mdx", "replace(replace(text, '. ', '} <b '), ', ', '{ < ')", text.escape_mdx, r"regexp_replace(regexp_replace(x, '([{}])', '\\\1', 'g'), '<([A-Za-z/>])', '\\<\1', 'g')")
 _string("escape_html_like", "replace(replace(text, '. ', ' <!x </b '), ', ', ' <?p < ')", text.escape_html_like, r"regexp_replace(x, '<(/?[A-Za-z]|[?!])', '\\<\1', 'g')")
+_string("escape_markdown", "case doc_id % 6 when 0 then '# ' when 1 then '1. ' when 2 then '- ' when 3 then '=' when 4 then '[a]' else '' end || replace(replace(text, '. ', ' *b* _c_ '), ', ', ' `d` [e] ')", text.escape_markdown, r"regexp_replace(regexp_replace(regexp_replace(x, '([\\*_`\[\]])', '\\\1', 'g'), '^([=~>]|[-+] |#+ )', '\\\1'), '^(\p{N}+)\.( )', '\1\\.\2')")
 _string("csv_quote", "case when doc_id % 3 = 0 then text || '\"' when doc_id % 3 = 1 then replace(replace(text, ',', ';'), chr(10), ' ') else text end", text.csv_quote, """case when regexp_matches(x, '[,"\n]') then '"' || replace(x, '"', '""') || '"' else x end""")
 _string("fence_size", "repeat('`', cast(doc_id % 7 as int)) || ' ' || text || ' ' || repeat('`', cast(doc_id % 4 as int))", text.fence, "case when doc_id % 7 >= 3 or doc_id % 4 >= 3 then repeat('`', 1 + greatest(cast(doc_id % 7 as int), cast(doc_id % 4 as int))) else '```' end")
 
@@ -348,6 +350,15 @@ def url_resolve(spark, sf_dir):
     return found.select("page_id", "href", url.resolve(href, F.col("url")).alias("from_root"), url.resolve(F.concat(F.lit("./"), rest), F.col("url")).alias("from_folder"), url.resolve(F.concat(F.lit("y/../x/z/.././"), rest, F.lit("#f")), F.col("url")).alias("up"))
 
 
+@query(f"""select page_id, case when page_id % 4 = 0 then '' else regexp_replace({_ORIGIN}, '^http:', 'https:') || href || case when page_id % 3 = 0 then '?q=1#top' else '' end end as rewritten
+  from (select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) href from pages)""")
+def url_rewrite_chain(spark, sf_dir):
+    """Scheme, base, rules and tracking parameters one after the other, for the links of pages."""
+    made = "case when page_id % 4 = 0 then 'JavaScript:' || href when page_id % 3 = 0 then href || '?utm_source=x&q=1&fbclid=z#top' else href || '?gclid=a' end"
+    found = _pages(spark, sf_dir).select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    return found.select("page_id", url.rewrite_url(F.expr(made), [("^http:", "https:")], base=F.col("url")).alias("rewritten"))
+
+
 def _converted(profile: str) -> Query:
     def run(spark, sf_dir):
         done = convert_table(_spread(_pages(spark, sf_dir)), Options.of(profile))

@@ -144,3 +144,16 @@ def test_language_twin(spark):
     got = spark.createDataFrame(list(enumerate(made)), "i int, x string").select("i", code.detect_language(F.col("x")).alias("y")).collect()
     assert [(made[x.i], x.y) for x in got if x.y != code.detect_language_py(made[x.i])] == []
     assert len({x.y for x in got}) > 15
+
+
+def test_normal_forms(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from papyrine.functions import text
+
+    made = ["", "plain", "é", "ﬁ", "ẛ̣", "Å̧", "가", None, "½ ＡＢ"]
+    for form in ("NFC", "NFKC"):
+        got = spark.createDataFrame([(x,) for x in made], "x string").select(text.normalize(F.col("x"), form).alias("y")).collect()
+        assert [r.y for r in got] == [None if x is None else unicodedata.normalize(form, x) for x in made]
