@@ -1,10 +1,10 @@
 """Line differences of pairs of texts, as joins and windows over a table of lines.
 
-Lines that are equal at the beginning or end of both texts are left out, before any row is dealt, and then at the edges of each
-stretch that is cut. Of what is left, a line that stands once in the old stretch
-and once in the new one is a candidate; the longest run of candidates that keeps both orders gives anchors, which cut the
-stretch into shorter ones, in which further lines are unique. Where none are, lines that repeat are paired by their first,
-second and further places in the stretch. This goes on until no stretch has an anchor more; what is left has gone or come.
+Lines that are equal at the beginning or end of both texts are left out, before any row is dealt; later the same is done at the
+edges of each stretch. Of what is left, a line that stands once in the old stretch and once in the new one is a candidate; the
+longest run of candidates that keeps both orders gives anchors, which cut the stretch into shorter ones, in which further lines
+are unique. Where none are, lines that repeat are paired by their first, second and further places in the stretch. This goes on
+until no stretch has an anchor more; what is left has gone or come.
 """
 
 from __future__ import annotations
