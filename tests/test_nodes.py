@@ -205,3 +205,13 @@ def test_resolve(spark):
     assert [x[0] for x in got] == [x[2] for x in odd]
     x = spark.createDataFrame([("http://h/p?a=1&utm_source=x#f\ng",)], "u string").select(url.strip_tracking(F.col("u"))).first()[0]
     assert x == "http://h/p?a=1#f\ng"
+
+
+def test_nodes_are_dealt_by_size(table, monkeypatch):
+    def dealt_to(found):
+        return found.rdd.getNumPartitions()
+
+    few = dealt_to(N.flag_all(table, "page_id", {"x": "div > .a"}))
+    monkeypatch.setattr(N, "PART_BYTES", 2000)
+    for found in (N.flag_all(table, "page_id", {"x": "div > .a"}), N.remove_nodes(table, "page_id", "p"), N.keep_only(table, "page_id", "p")):
+        assert dealt_to(found) > few
