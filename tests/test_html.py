@@ -186,3 +186,22 @@ def test_backend(spark):
     docs = spark.createDataFrame([(1, "<p>a"), (2, "bad"), (3, None)], "i int, html string")
     got = {r.i: (r.result.markdown, r.result.error) for r in convert_table(docs, backend=Loud()).collect()}
     assert got == {1: ("A\n", None), 2: (None, "RuntimeError: no"), 3: ("\n", None)}
+
+
+def test_results_leave_a_few_at_a_time(monkeypatch):
+    import pandas as pd
+
+    from papyrine import convert as C
+
+    sizes = []
+    monkeypatch.setattr(C, "_rows", lambda part, o, backend: sizes.append(len(part)) or [{"markdown": x} for x in part])
+    monkeypatch.setattr(C.F, "pandas_udf", lambda kind: lambda f: sizes.append(sum(len(x) for x in f(iter([pd.Series(["x"] * 1001)])))) or _Stop.stop())
+    with pytest.raises(_Stop):
+        C.convert_table(None)
+    assert max(sizes[:-1]) <= 200 and sum(sizes[:-1]) == sizes[-1] == 1001
+
+
+class _Stop(Exception):
+    @classmethod
+    def stop(cls):
+        raise cls
