@@ -213,5 +213,5 @@ def test_nodes_are_dealt_by_size(table, monkeypatch):
 
     few = dealt_to(N.flag_all(table, "page_id", {"x": "div > .a"}))
     monkeypatch.setattr(N, "PART_BYTES", 2000)
-    for found in (N.flag_all(table, "page_id", {"x": "div > .a"}), N.remove_nodes(table, "page_id", "p"), N.keep_only(table, "page_id", "p")):
+    for found in (N.flag_all(table, "page_id", {"x": "div > .a"}), N.remove_nodes(table, "page_id", "p"), N.keep_only(table, "page_id", "p"), N.table_grid(table, "page_id")):
         assert dealt_to(found) > few
