@@ -173,3 +173,26 @@ def test_references_without_semicolon(spark, tmp_path, name):
     want = c.sql(catalog.oracle_sql()[name]).df()
     cols = sorted(want.columns)
     assert sorted(map(tuple, rows[cols].astype(str).values)) == sorted(map(tuple, want[cols].astype(str).values))
+
+
+def test_normal_forms_leave_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from papyrine.functions import text
+
+    class Stop(Exception):
+        pass
+
+    sizes = []
+
+    def held(kind):
+        def run(f):
+            sizes.extend(len(x) for x in f(iter([pa.array(["é", None] * 300)])))
+            raise Stop
+
+        return run
+
+    monkeypatch.setattr(text.F, "arrow_udf", held)
+    with pytest.raises(Stop):
+        text.normalize(None)
+    assert sizes == [200] * 3
