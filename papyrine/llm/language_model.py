@@ -10,6 +10,8 @@ are Elias-Fano coded. Shards are files of flat arrays in the shared folder, memo
 
 The model never travels: a scoring task sends the different trigrams of some million tokens to their shards, one task
 opens each shard and answers, and the answers go back to where the documents' tokens are. No pair or trigram is dropped.
+Shards are counted in TURNS and documents scored in ROUNDS, whose shuffle files go as each one ends. Trigrams travel as numbers: of a frequent word its
+place in a bounded list that all tasks have, of others a place in the row's own list of hashes.
 
 Probability of w after u v: P3(w | u v) + weight(u v) * (count(v w) / c(v) + weight(v) * (c(w) + 1) / (N + V + 1)),
 with counts less a discount, quantised and rounded down, and weights taken from the quantised ones; weights are rounded
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -36,6 +40,10 @@ from papyrine.llm.shingles import mix, word_hashes
 DISCOUNT, SALTS = 0.75, 16
 #: Bytes of training text behind one shard, and tokens that a task gathers before it hands them on.
 SHARD_BYTES, FLUSH = 16 << 20, 1_000_000
+#: Frequent words that travel as short numbers at most, bytes of text in which they are looked for.
+FREQUENT, LOOKED_AT = 60_000, 8 << 20
+#: Turns in which shards are counted, rounds in which documents are scored.
+TURNS, ROUNDS = 2, 4
 #: Hashes of the end, of what stands before the first word and of what follows the end.
 END, BEGIN, STOP = np.uint64(0x5BD1E995A5A5A5A5), np.uint64(0x27D4EB2F165667C5), np.uint64(0x165667B19E3779F9)
 #: Steps of a quantised number for each doubling, steps of a weight.
@@ -78,7 +86,7 @@ def _word_shard(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers as one compressed blob, each in the least width."""
+    """Arrays of numbers as one compressed blob, each in the least width, whole numbers as all lowest bytes, all next ones, ..."""
     import zstandard as Z
 
     kinds, parts = [], []
@@ -87,7 +95,7 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
             most = int(x.max(initial=0))
             x = x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
         kinds.append((x.dtype.str, len(x)))
-        parts.append(x.tobytes())
+        parts.append(x.tobytes() if x.dtype.kind == "f" else np.ascontiguousarray(x.view("u1").reshape(len(x), x.itemsize).T).tobytes())
     return Z.ZstdCompressor(level=1).compress(json.dumps(kinds).encode() + b"\n" + b"".join(parts))
 
 
@@ -98,8 +106,10 @@ def _unsqueeze(blob: bytes) -> list[np.ndarray]:
     at = data.index(b"\n") + 1
     out = []
     for kind, n in json.loads(data[: at - 1]):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += out[-1].nbytes
+        width = np.dtype(kind).itemsize
+        x = np.frombuffer(data, "u1", n * width, at)
+        out.append((x if np.dtype(kind).kind == "f" else np.ascontiguousarray(x.reshape(width, n).T).ravel()).view(kind))
+        at += n * width
     return out
 
 
@@ -162,19 +172,31 @@ def _distinct(i1, i2, i3, size: int, **also):
 
 def _bounds(shard: np.ndarray):
     first = np.flatnonzero(np.diff(shard, prepend=-1))
-    return zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shard)], strict=True)
+    return zip(shard[first].tolist(), first.tolist(), np.append(first[1:], len(shard))[: len(first)].tolist(), strict=True)
 
 
-def _pack(grams: list[np.ndarray], words: np.ndarray) -> bytes:
-    """Trigrams, and their counts if there are any, with a list of their words' hashes."""
+def _numbers(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The place of each word in ``frequent``, -1 where it isn't there."""
+    if not len(frequent):
+        return np.full(len(words), -1, np.int64)
+    order = np.argsort(frequent)
+    at = order[np.searchsorted(frequent, words, sorter=order).clip(max=len(frequent) - 1)]
+    return np.where(frequent[at] == words, at, -1)
+
+
+def _pack(grams: list[np.ndarray], words: np.ndarray, numbers: np.ndarray, known: int) -> bytes:
+    """Trigrams, and their counts if there are any, as numbers of their words: below ``known`` those of frequent words, from
+    there on places in the list of the others' hashes."""
     i = np.concatenate(grams[:3])
-    own = np.unique(i)
-    at = np.searchsorted(own, i).reshape(3, -1)
-    return _squeeze(words[own], *at, *grams[3:])
+    at = numbers[i]
+    other, back = np.unique(i[at < 0], return_inverse=True)
+    at[at < 0] = known + back
+    return _squeeze(words[other], *at.reshape(3, -1), *grams[3:])
 
 
-def _rows(bits: int, scoring: bool):
-    """What a task sends: word and trigram counts, or look-ups of words and trigrams and the documents' tokens."""
+def _rows(bits: int, scoring: bool, frequent: np.ndarray, turn: int = 0):
+    """What a task sends: look-ups of words and trigrams and the documents' tokens, or counts of the trigrams whose shards
+    have their ``turn``, with the first one counts of words too."""
 
     def flush(held, ids, chunk):
         token = np.concatenate([h[0] for h in held])
@@ -185,15 +207,20 @@ def _rows(bits: int, scoring: bool):
         n[begin] += len(counts) - 1  # how often nothing stands before: the count of the first context
         n[stop] -= 1
         routes = _routes(words)
-        grams = list(_distinct(*trigrams(place, counts, begin, stop), len(words), return_counts=True))[: 3 if scoring else 4]
+        grams = trigrams(place, counts, begin, stop)
+        if not scoring:
+            mine = _gram_shard(routes[grams[0]], routes[grams[1]], bits) % TURNS == turn
+            grams = [x[mine] for x in grams]
+        grams = list(_distinct(*grams, len(words), return_counts=True))[: 3 if scoring else 4]
         shard = _gram_shard(routes[grams[0]], routes[grams[1]], bits)
         order = np.argsort(shard, kind="stable")
         grams, shard = [x[order] for x in grams], shard[order]
         out = []
-        for s, a, b in _bounds(_word_shard(words, bits)):
+        for s, a, b in _bounds(_word_shard(words, bits)) if scoring or not turn else ():
             out.append((WORDS, s, chunk, _squeeze(words[a:b]) if scoring else _squeeze(words[a:b], n[a:b])))
+        numbers = _numbers(words, frequent)
         for s, a, b in _bounds(shard):
-            out.append((GRAMS, s, chunk, _pack([x[a:b] for x in grams], words)))
+            out.append((GRAMS, s, chunk, _pack([x[a:b] for x in grams], words, numbers, len(frequent))))
         if scoring:
             null = np.array([i is None for i in ids])
             doc = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)
@@ -269,14 +296,19 @@ def _spans(rank: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(rank, np.arange(n + 1))
 
 
-def _build(path: str, bits: int):
+def _build(path: str, bits: int, frequent: np.ndarray):
     """Writes a shard of levels two and three, or adds up a shard of words; returns blobs for the shards of level one:
     words with counts, and what its pairs take from each context."""
 
     def grams(shard: int, blobs) -> list[tuple]:
         parts = [_unsqueeze(b) for b in blobs]
-        words = np.unique(np.concatenate([p[0] for p in parts]))
-        maps = [np.searchsorted(words, p[0]) for p in parts]
+        used = np.zeros(len(frequent), bool)
+        for p in parts:
+            for x in p[1:4]:
+                used[x[x < len(frequent)]] = True
+        words = np.unique(np.concatenate([frequent[used], *(p[0] for p in parts)]))
+        usual = np.searchsorted(words, frequent)
+        maps = [np.concatenate([usual, np.searchsorted(words, p[0])]) for p in parts]
         i1, i2, i3 = (np.concatenate([m[p[k]] for m, p in zip(maps, parts, strict=True)]) for k in (1, 2, 3))
         n = np.concatenate([p[4] for p in parts]).astype(np.int64)
         del parts, maps
@@ -346,39 +378,47 @@ def _words(path: str):
     return run
 
 
+def _among(listed: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each of ``h`` in the sorted ``listed``, -1 where it isn't."""
+    if not len(listed):
+        return np.full(len(h), -1, np.int64)
+    at = np.searchsorted(listed, h).clip(max=len(listed) - 1)
+    return np.where(listed[at] == h, at, -1)
+
+
 class Trie:
-    """A written model: where it is, shard bits, known words V and training tokens N."""
+    """A written model: where it is, shard bits, known words V, training tokens N, and words that travel as numbers."""
 
-    def __init__(self, path: str, bits: int, known: int, total: int):
-        self.path, self.bits, self.known, self.total = path, bits, known, total
+    def __init__(self, path: str, bits: int, known: int, total: int, frequent: np.ndarray):
+        self.path, self.bits, self.known, self.total, self.frequent = path, bits, known, total, frequent
 
     def answer_words(self, found, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words, and the weight that each leaves as a context (all where it is unknown)."""
         count, weight = np.zeros(len(h), np.int64), np.full(len(h), WEIGHTS, np.int64)
         if found:
-            (words,), (counts, weights) = found
-            at = words.find(h)
+            listed, (counts, weights) = found
+            at = _among(listed, h)
             hit = at >= 0
             count[hit], weight[hit] = counts[at[hit]], weights[at[hit]]
         return count, weight
 
-    def answer_grams(self, found, h: np.ndarray, i1, i2, i3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For trigrams (places in ``h``, by first and second) the code of the pair's count, the weight of the pair as a
-        context and the code of the trigram's share."""
+    def answer_grams(self, found, listed: np.ndarray, rank: np.ndarray, usual: np.ndarray, h: np.ndarray, i1, i2, i3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For trigrams (numbers of words, by first and second) the code of the pair's count, the weight of the pair as a
+        context and the code of the trigram's share. ``listed`` are a shard's words, ``rank`` is theirs among its contexts,
+        ``usual`` has the places of frequent words, ``h`` are the others."""
         n = len(i1)
         code2, weight, code3 = np.zeros(n, np.uint8), np.full(n, WEIGHTS, np.int64), np.full(n, 255, np.uint8)
         if not found or not n:
             return code2, weight, code3
-        (words, context, spans2, nodes2, spans3, nodes3), (codes2, weights, codes3) = found
-        v = np.uint64(max(1, words.n))
-        word = words.find(h)
-        rank = np.full(len(h), -1, np.int64)
-        rank[word >= 0] = context.find(word[word >= 0])
+        (_, _, spans2, nodes2, spans3, nodes3), (codes2, weights, codes3) = found
+        v = np.uint64(max(1, len(listed)))
+        word = np.concatenate([usual, _among(listed, h)])
         # Pairs first, each once: the range of the first word's successors, then the second word in it.
         i1, i2, i3 = i1.astype(np.int64), i2.astype(np.int64), i3.astype(np.int64)
         new = np.flatnonzero(np.diff(i1, prepend=-1) | np.diff(i2, prepend=-1))
         of = np.cumsum(np.bincount(new, minlength=n)) - 1
-        r, second = rank[i1[new]], word[i2[new]]
+        first, second = word[i1[new]], word[i2[new]]
+        r = np.where(first >= 0, rank[first], -1)
         on = np.flatnonzero((r >= 0) & (second >= 0))
         first, end = spans2.get(r[on]).astype(np.int64), spans2.get(r[on] + 1).astype(np.int64)
         pair = np.full(len(new), -1, np.int64)
@@ -397,8 +437,17 @@ class Trie:
     def answers(self, level: int, shard: int, blobs) -> list[bytes]:
         """Answers to look-ups of one shard, which is opened once."""
         found = _load(self.path, f"{'one' if level == WORDS else 'two'}-{shard}")
-        ask = self.answer_words if level == WORDS else self.answer_grams
-        return [_squeeze(*ask(found, *_unsqueeze(b))) for b in blobs]
+        # Lists of words are decoded as a whole; successors are searched where they are.
+        listed = found[0][0].decode() if found else np.zeros(0, np.uint64)
+        if level == WORDS:
+            opened = found and (listed, found[1])
+            return [_squeeze(*self.answer_words(opened, *_unsqueeze(b))) for b in blobs]
+        rank = np.full(len(listed), -1, np.int64)
+        if found:
+            context = found[0][1]
+            rank[context.decode().astype(np.int64)] = np.arange(context.n)
+        usual = _among(listed, self.frequent)
+        return [_squeeze(*self.answer_grams(found, listed, rank, usual, *_unsqueeze(b))) for b in blobs]
 
     def combine(self, home: bytes, words: dict[int, bytes], grams: dict[int, bytes]) -> pd.DataFrame:
         """Scores of a chunk's documents from its tokens and the answers of all shards."""
@@ -429,18 +478,51 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+@contextmanager
+def _freed(spark):
+    """Queries that begin meanwhile leave no shuffle files when they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
+def _counts(batches):
+    for batch in batches:
+        for part in _chunks(batch["text"].to_list(), 1 << 20):
+            word, n = np.unique(tokens(part)[0], return_counts=True)
+            yield pd.DataFrame({"word": word.view(np.int64), "n": n})
+
+
+def _frequent(rows: DataFrame, size: int) -> np.ndarray:
+    """Hashes of frequent words, the commonest first. They are looked for in some LOOKED_AT bytes of text, chosen by hash;
+    which ones are found decides how much room rows take on their way, never a result."""
+    parts = max(1, size // LOOKED_AT)
+    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0)
+    found = some.mapInPandas(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    best = found.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    return best["word"].to_numpy(np.int64).view(np.uint64)
+
+
 def train(docs: DataFrame, path: str) -> Trie:
     """Counts all words, pairs and trigrams of ``docs`` and writes the trie under ``path``, a shared folder. Null text is
     empty and counts one end; rows that repeat an id count each; an empty table gives an empty model."""
     rows = _text_rows(docs)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(24, max(4, int(size // SHARD_BYTES).bit_length()))
-    sent = rows.mapInPandas(_rows(bits, False), _ROW)
-    built = sent.groupBy("level", "shard").applyInPandas(_build(f"{path}/trie", bits), _ROW)
-    built.write.parquet(f"{path}/contexts")
-    ones = docs.sparkSession.read.schema(_ROW).parquet(f"{path}/contexts")
-    known, total = ones.groupBy("shard").applyInPandas(_words(f"{path}/trie"), "words long, tokens long").agg(F.sum("words"), F.sum("tokens")).first()
-    return Trie(f"{path}/trie", bits, int(known or 0), int(total or 0))
+    spark = docs.sparkSession
+    with _freed(spark):
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(24, max(4, int(size // SHARD_BYTES).bit_length()))
+        frequent = _frequent(rows, size)
+        for turn in range(TURNS):
+            sent = rows.mapInPandas(_rows(bits, False, frequent, turn), _ROW)
+            built = sent.groupBy("level", "shard").applyInPandas(_build(f"{path}/trie", bits, frequent), _ROW)
+            built.write.mode("append").parquet(f"{path}/contexts")
+        ones = spark.read.schema(_ROW).parquet(f"{path}/contexts")
+        known, total = ones.groupBy("shard").applyInPandas(_words(f"{path}/trie"), "words long, tokens long").agg(F.sum("words"), F.sum("tokens")).first()
+    return Trie(f"{path}/trie", bits, int(known or 0), int(total or 0), frequent)
 
 
 def _answer(model: Trie):
@@ -462,10 +544,19 @@ def _combine(model: Trie):
 
 def score(docs: DataFrame, model: Trie) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; a null text is one end, rows
-    that repeat an id are scored each, a null id stays null, an empty table gives no rows, other columns are ignored."""
-    sent = _text_rows(docs).mapInPandas(_rows(model.bits, True), _ROW)
-    back = sent.groupBy("level", "shard").applyInPandas(_answer(model), _ROW)
-    out = back.groupBy("chunk").applyInPandas(_combine(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    that repeat an id are scored each, a null id stays null, an empty table gives no rows, other columns are ignored.
+
+    ``docs`` is read once for each round, which has the texts of some hashes, and must be the same each time. Scores are
+    written beside the model."""
+    rows, spark, path = _text_rows(docs), docs.sparkSession, f"{model.path}/scores-{uuid.uuid4().hex}"
+    kind = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    with _freed(spark):
+        for k in range(ROUNDS):
+            some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)
+            sent = some.mapInPandas(_rows(model.bits, True, model.frequent), _ROW)
+            back = sent.groupBy("level", "shard").applyInPandas(_answer(model), _ROW)
+            back.groupBy("chunk").applyInPandas(_combine(model), kind).write.mode("append").parquet(path)
+    out = spark.read.schema(kind).parquet(path)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import textwrap
 import zlib
 from collections import Counter
@@ -402,6 +403,41 @@ def test_language_model_rows(spark, tmp_path):
     assert got == sorted(want) and model.total == sum(map(len, words))
 
 
+def test_language_model_room(spark, docs, tmp_path, monkeypatch):
+    """Jobs leave no shuffle files; frequent words travel as short numbers, however many shards there are; neither the list of
+    them nor turns and rounds change a result."""
+
+    def shuffled():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {n for n in (found.apply(i).name() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    def scores(path):
+        found = lm.score(docs, lm.train(docs.filter(~lm.held_out(docs.doc_id)), str(path)))
+        return sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in found.collect())
+
+    before = shuffled()
+    want = scores(tmp_path / "m")
+    for _ in range(50):
+        if left := shuffled() - before:
+            time.sleep(0.2)
+    assert not left
+    for frequent, turns, rounds in ((1, 1, 1), (7, 3, 2)):
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        monkeypatch.setattr(lm, "TURNS", turns)
+        monkeypatch.setattr(lm, "ROUNDS", rounds)
+        assert scores(tmp_path / f"m{turns}") == want
+    r = random.Random(1)
+    said = spark.createDataFrame([(i, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(2000))) for i in range(50)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "FREQUENT", 60_000)
+    usual = lm._frequent(said, 1)
+
+    def room(words):
+        sent = said.coalesce(1).mapInPandas(lm._rows(8, True, words), lm._ROW).filter("level = 2")
+        return sent.selectExpr("sum(length(blob))").first()[0]
+
+    assert 100 < len(usual) < 60_000 and room(usual) < 0.7 * room(usual[:0])
+
+
 def test_elias_fano_crowded():
     v = np.unique(np.concatenate([np.arange(0, 90_000, 3), np.arange(1 << 38, (1 << 38) + 500, 2), np.arange(1, 400) << 31]).astype(np.uint64))
     e, q = EliasFano.of(v, 1 << 40), np.concatenate([v, v + np.uint64(1)])
