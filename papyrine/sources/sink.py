@@ -18,6 +18,7 @@ import posixpath
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -32,6 +33,8 @@ POLICIES = ("overwrite", "skip-existing", "fail-if-exists")
 #: Columns that a record takes over from a row, where they are there.
 CARRIED = {"input_path": "input", "title": "title", "description": "description", "canonical_url": "canonical_url", "input_hash": "input_hash", "diagnostics": "diagnostics", "error": "error"}
 RECORDS = "records.jsonl"
+#: Bytes of a batch on its way to a Python worker while files are written.
+BATCH_BYTES = 4 << 20
 
 
 @dataclass
@@ -254,6 +257,18 @@ class MarkdownSink(DataSource):
         return SinkStreamWriter(self.options, schema)
 
 
+@contextmanager
+def _small_batches(spark):
+    """Queries that begin meanwhile hand rows to Python workers by BATCH_BYTES, whatever rows hold; a longer row goes alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def save_files(done: DataFrame, root: str, **options) -> DataFrame:
     """Writes ``done`` below ``root`` and returns the manifest's records (input, output, hashes, skipped, changed, error) as
     a table.
@@ -267,7 +282,8 @@ def save_files(done: DataFrame, root: str, **options) -> DataFrame:
     spark = done.sparkSession
     spark.dataSource.register(MarkdownSink)
     named = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
-    done.write.format("markdown_files").options(**named, path=root).mode("append").save()
+    with _small_batches(spark):
+        done.write.format("markdown_files").options(**named, path=root).mode("append").save()
     return read_manifest(spark, root, named.get("manifest", "manifest.json"))
 
 

@@ -4,6 +4,7 @@ import glob
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,18 @@ def test_stream_sink(spark, folder, tmp_path):
     found = leftovers(f"{tmp_path}/o")
     assert sum(p.endswith(".md") for p in found) == 300 and open(f"{tmp_path}/o/d1/1x.htm.md").read() == "é1\n"
     assert not any("_staging" in p for p in found) and read_manifest(spark, f"{tmp_path}/o", "_batches/0.json").count() + (read_manifest(spark, f"{tmp_path}/o", "_batches/1.json").count() if "_batches/1.json" in found else 0) == 300
+
+
+def test_small_batches(spark, tmp_path):
+    """While files are written a Python worker gets batches of some megabytes, not of ten thousand rows."""
+
+    @F.pandas_udf("string")
+    def rows(text: pd.Series) -> pd.Series:
+        return pd.Series([str(len(text))] * len(text))
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    texts = spark.range(0, 6000, 1, 1).select(F.concat("id", F.lit(".md")).alias("output_path"), F.concat("id", F.repeat(F.lit("x"), 5000)).alias("markdown"))
+    saved = save_files(texts.withColumn("title", rows("markdown")), str(tmp_path / "out")).collect()
+    assert len(saved) == len({r.output for r in saved}) == 6000 and all((tmp_path / "out" / r.output).stat().st_size > 5000 for r in saved[:50])
+    assert max(int(r.title) for r in saved) * 5000 <= 8 << 20 and spark.conf.get(name) == was
