@@ -31,6 +31,14 @@ def test_tree(html, body):
     assert serialize(parse(html)) == f"<html><head></head><body>{body}</body></html>"
 
 
+@pytest.mark.parametrize("bare", [True, False])
+def test_numbers_of_any_length(bare):
+    for number, c in (("9" * 5000, "\ufffd"), ("0" * 5000 + "65", "A"), ("0" * 5000, "\ufffd"), ("12345678", "\ufffd"), ("1114111", ""), ("128512", "\U0001f600"), ("x" + "0" * 5000 + "41", "A")):
+        root = parse(f"<p title='a&#{number}; b'>a&#{number}; b", bare)
+        p = next(n for n in root.elements() if n.tag == "p")
+        assert p.inner_text() == p.attrs["title"] == f"a{c} b"
+
+
 def test_selectors():
     t = parse("<div id=d class='a b'><p lang=en-x>1</p><p title='q r'>2</p></div><p>3</p>")
     for css, want in (("div > p", "12"), ("div + p", "3"), ("p:not([title])", "13"), (".a.b p:last-child", "2"), ("[lang|=en], #d + p", "13"), ("p:nth-child(odd)", "1"), ("[title~=r]", "2")):

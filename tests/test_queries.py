@@ -175,6 +175,26 @@ def test_references_without_semicolon(spark, tmp_path, name):
     assert sorted(map(tuple, rows[cols].astype(str).values)) == sorted(map(tuple, want[cols].astype(str).values))
 
 
+UNREAD = ["removed_nodes"]
+
+
+@pytest.mark.parametrize("name", UNREAD)
+def test_a_failure_is_no_result(spark, tmp_path, name):
+    page = '<html><head><title>{0}</title></head><body><nav><ul><li><a href="/{0}">{0}</a></li><li><a href="/">b</a></li></ul></nav><div class="ad">x</div><article><h1>t</h1><p>a<br>b</p></article></body></html>'
+    # Python reads no number of so many digits.
+    html = [page.format("x"), page.format("&#" + "9" * 5000 + ";"), None, "", page.format("&#" + "0" * 5000 + "65;")]
+    spark.createDataFrame([(i, "http://a", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    rows = catalog.queries()[name](spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = c.sql(catalog.oracle_sql()[name])
+    assert sorted((tuple(r[n] for n in want.columns) for r in rows), key=lambda r: r[0]) == sorted(want.fetchall()) and len(rows) == 5
+    # Bytes are no text, so none of these can be parsed.
+    spark.createDataFrame([(7, "http://a", b"<p>a")], "page_id long, url string, html binary").write.parquet(str(tmp_path / "b" / "pages.parquet"))
+    with pytest.raises(Exception, match="document 7 can't be parsed"):
+        catalog.queries()[name](spark, str(tmp_path / "b")).collect()
+
+
 def test_normal_forms_leave_a_few_at_a_time(monkeypatch):
     import pyarrow as pa
 
